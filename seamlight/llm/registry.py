@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, packing, rollups
+from . import bytepair, packing, quality_rules, rollups
 from .shared import materialise, scratch, table
 
 
@@ -14,6 +14,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target: documents labelled as of good quality."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.encode_decode(table(spark, sf_dir, "documents"), ids=False)
 
@@ -30,7 +36,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op6_byte_bpe, op10_token_rollup)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op5_quality_rules, op6_byte_bpe, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
