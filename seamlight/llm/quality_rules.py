@@ -73,10 +73,12 @@ def surface(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def grams(words: Column, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of all n-grams of the words, as an array<int>."""
+    """Hash buckets of all n-grams of the words, as an array<smallint>, which takes two bytes an n-gram in a shuffle."""
+    if buckets > 1 << 16:
+        raise ValueError("buckets must fit in 16 bits")
 
     def of(n: int) -> Column:
-        bucket = lambda *w: F.pmod(F.hash(*w), F.lit(buckets))
+        bucket = lambda *w: (F.pmod(F.hash(*w), F.lit(buckets)) - (1 << 15)).cast("short")
         if n == 1:
             return F.transform(words, lambda w: bucket(w))
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
@@ -89,11 +91,12 @@ def ratio_table(corpus: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS
     """(bucket, llr): log of each bucket's share in the trusted target over its share in the whole corpus.
 
     The target's multinomial is smoothed towards the corpus's by PRIOR counts a bucket, so that buckets seen a few
-    times say little whether or not one of those few documents is trusted.
+    times say little whether or not one of those few documents is trusted. The ids are not broadcast, as they grow with
+    the corpus: both sides of the join are dealt by id, whatever their size.
     `corpus` has the id and `_grams`. All rows are counted, with partial sums before a shuffle of at most `buckets`
     rows a task. Without a target row the ratio is 0 everywhere. Ids that come more than once in the target count once.
     """
-    trusted = target_ids.select(F.col(id_column).alias("_id")).dropna().distinct().withColumn("_in", F.lit(1))
+    trusted = target_ids.select(F.col(id_column).alias("_id")).dropna().distinct().withColumn("_in", F.lit(1)).hint("merge")
     marked = corpus.select(id_column, "_grams").join(trusted, F.col(id_column) == F.col("_id"), "left")
     # not explode(): the filter that it implies would be pushed below the words and split the text again for each n-gram
     counts = marked.select("_in", F.explode_outer("_grams").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_in").alias("target"))
