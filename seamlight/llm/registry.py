@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, packing, quality_rules, rollups
+from . import bytepair, minhash, packing, quality_rules, rollups
 from .shared import materialise, scratch, table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_quality_rules, op6_byte_bpe, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_quality_rules, op6_byte_bpe, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
