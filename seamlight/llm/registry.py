@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepair, minhash, packing, quality_rules, rollups
+from . import bytepair, minhash, packing, quality_model, quality_rules, rollups, toxicity
 from .shared import materialise, scratch, table
 
 
@@ -28,6 +28,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.encode_decode(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored_by_fold(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents come in; copies of a text are deleted; that delete is sent once more."""
     counts = materialise(rollups.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "byte_bpe_50k/1"), "counts")
@@ -40,7 +48,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_quality_rules, op6_byte_bpe, op10_token_rollup)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_best_fit_packing, op5_quality_rules, op6_byte_bpe, op8_toxicity_cnn, op9_quality_subwords, op10_token_rollup)}
 
 
 def oracle_sql() -> dict[str, str]:
