@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     scores, truth = model.scorer()([r["text"] for r in check]), np.array([r["label"] for r in check])
     # in the check part as in the sample, classes are balanced; weights put their shares back
     share = np.where(truth == 1, counts[1] / max(1, truth.sum()), counts[0] / max(1, (1 - truth).sum()))
-    langs = np.array([r["lang"] or "" for r in check])
+    langs = np.array([r["lang"] or "" for r in check], object)
     model.thresholds = {"": best_threshold(scores, truth, share)}
     for lang in sorted({*langs} - {""}):
         own = langs == lang
@@ -199,6 +199,17 @@ def _scorer(model: Model):
     return model.scorer()
 
 
+def flagged(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """All columns of the documents and _score, _threshold (of the language), _toxic; texts pass through, so nothing is joined."""
+    model = model or train(docs, labels)
+    scored = score_texts(docs, _scorer, model, tuple(docs.columns)).withColumnRenamed("score", "_score") if "score" not in docs.columns else None
+    if scored is None:  # a column of that name comes back under its own name
+        kept = flagged(docs.withColumnRenamed("score", "_own_score"), labels, model)
+        return kept.withColumnRenamed("_own_score", "score")
+    chosen = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in model.thresholds.items() if k), F.lit(model.thresholds.get("", 0.5)))
+    return scored.withColumn("_threshold", chosen).withColumn("_toxic", F.col("_score") >= F.col("_threshold"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """Operator 8: doc_id, score, threshold (of its language) and toxic for every row.
 
@@ -206,11 +217,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     their bias). Repeated and null ids each keep their row; an unknown or null language takes the common threshold;
     other columns are dropped; an empty table gives an empty table.
     """
-    model = model or train(docs, labels)
-    scored = score_texts(docs, _scorer, model, ("doc_id", "lang"))
-    common = F.lit(model.thresholds.get("", 0.5))
-    chosen = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in model.thresholds.items() if k), common)
-    return scored.withColumn("threshold", chosen).select("doc_id", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
+    out = flagged(docs.select("doc_id", "text", "lang"), labels, model)
+    return out.select("doc_id", F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_toxic").alias("toxic"))
 
 
 def scored_by_fold(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, cut: float = 0.3) -> DataFrame:
