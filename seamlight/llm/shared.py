@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import arrow_rows, importable
+
 #: What separates words: space and the five ASCII controls 0x09-0x0D (as a Java character class).
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows in an Arrow batch, so that a batch of very long texts stays within a worker's memory.
@@ -55,11 +57,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on; larger settings are lowered, smaller kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """For what runs in Python: Arrow batches of at most BATCH_ROWS rows, and workers that can import this package."""
+    importable(spark)
+    arrow_rows(spark, BATCH_ROWS)
 
 
 def held_out(doc_id: str, mod: int, rest: int):
