@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import small_batches, tokenizer_path
+from .shared import plain_strings, small_batches, tokenizer_path
 
 #: The pre-tokeniser of the vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -236,11 +236,6 @@ class TextEncoder:
             start = stop
 
 
-def plain_strings(column: pa.Array) -> pa.Array:
-    """One kind of string array, whichever Spark sends."""
-    return column.cast(pa.string()) if column.type != pa.string() else column
-
-
 def encode_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", id_column: str = "doc_id", text_column: str = "text", ids: bool = True) -> DataFrame:
     """Operator 6: encodes each whole text and decodes the ids again.
 

@@ -5,16 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, small_batches
+from .shared import materialise, plain_strings, small_batches
 
-#: At a similarity of 0.85, 32 bands of 6 miss a pair once in 4 million; at 0.8, once in 30,000.
-BANDS, ROWS = 32, 6
+#: Buckets that each document's sketch is put in.
+BANDS = 42
+#: Two documents just similar enough share no bucket at most so often; bins a bucket follow from it.
+MISS = 1e-4
+#: Centres of one bucket and round, at most: rounds go on until every bucket is done.
+CENTRES = 64
+#: Texts of so many bytes, or one text, are shingled at once.
+SLICE_BYTES = 1 << 22
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def bins_per_band(percent: int, bands: int = BANDS) -> int:
+    """The most bins a bucket key may hash, so that a pair of that similarity is missed with at most MISS."""
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** bands <= MISS:
+        rows += 1
+    return rows
+
+
 def _mix(x):
     """A 64-bit finaliser over uint64 arrays."""
     import numpy as np
@@ -24,111 +39,150 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text's words: ASCII lower case, split at ASCII blanks."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def __call__(self, raw: bytes | None):
-        import numpy as np
-        import xxhash
+def shingle_hashes(texts: pa.Array, size: int) -> list:
+    """Sorted distinct 64-bit shingle hashes of each text's words: ASCII lower case, split at ASCII blanks.
 
-        words = (raw or b"").lower().split()
-        if len(self.known) > 300_000:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        for w in words:
-            if w not in known:
-                known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if not h.size:
-            return h
-        n = min(self.size, h.size)
-        out = np.full(h.size - n + 1, n, np.uint64)
+    Each distinct word of the block is hashed once (Arrow dictionary); the rest is arithmetic on whole arrays.
+    """
+    import numpy as np
+    import xxhash
+
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    bounds = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    w = words[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.uint64)
+    bounds = bounds - bounds[0]
+    blank = np.uint64(xxhash.xxh3_64_intdigest(""))
+
+    def hashed(x, n):
+        total = np.full(max(0, x.size - n + 1), n, np.uint64)
         for k in range(n):
-            out = _mix(out * np.uint64(_M1) + h[k : h.size - n + 1 + k])
-        return np.unique(out)
+            total = total * np.uint64(_M1) + x[k : x.size - n + 1 + k]
+        return _mix(total)
+
+    whole = hashed(w, size)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a == 1 and w[a] == blank:  # a text without words splits into one empty word
+            out.append(whole[:0])
+            continue
+        x = np.sort(whole[a : b - size + 1]) if b - a >= size else hashed(w[a:b], b - a)
+        out.append(x[np.append(True, x[1:] != x[:-1])] if x.size > 1 else x)
+    return out
 
 
 def probes(bins: int):
-    """For each bin, the bins to borrow from, in order: a hash of bin and attempt (optimal densification)."""
+    """order[attempt, bin]: where each bin borrows from, a hash of bin and attempt (optimal densification)."""
     import numpy as np
 
-    b, a = np.meshgrid(np.arange(bins, dtype=np.uint64), np.arange(1, 4 * bins + 1, dtype=np.uint64), indexing="ij")
+    a, b = np.meshgrid(np.arange(1, 4 * bins + 1, dtype=np.uint64), np.arange(bins, dtype=np.uint64), indexing="ij")
     return (_mix(b * np.uint64(_M1) + a * np.uint64(_M2)) % np.uint64(bins)).astype(np.int64)
 
 
-def sketch(shingles, bins: int, order):
-    """The smallest hash of each bin, one permutation; an empty bin takes that of the first non-empty bin it is sent to."""
+def sketches(sets: list, bins: int, order):
+    """(sets x bins) the smallest hash of each bin under one permutation; empty bins take that of the first full bin they are sent to.
+
+    Every set must have a member. A bin that finds none in all attempts takes the set's first full bin.
+    """
     import numpy as np
 
-    # multiply-shift on the top 32 bits keeps hashes of one bin together in the sorted array, smallest first
-    at = ((shingles >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    sizes = np.array([s.size for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    # multiply-shift on the top 32 bits keeps the hashes of one bin together in the sorted sets, smallest first
+    at = ((flat >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) + np.repeat(np.arange(sizes.size) * bins, sizes)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    value, full = np.zeros(bins, np.uint64), np.zeros(bins, bool)
-    value[at[first]], full[at[first]] = shingles[first], True
+    value, full = np.zeros(sizes.size * bins, np.uint64), np.zeros(sizes.size * bins, bool)
+    value[at[first]], full[at[first]] = flat[first], True
+    least = at[np.append(0, np.cumsum(sizes)[:-1])]
     empty = np.flatnonzero(~full)
-    if empty.size:
-        hit = full[order[empty]]
-        found = hit.argmax(1)
-        lender = order[empty, found]
-        missed = ~hit[np.arange(empty.size), found]
-        lender[missed] = at[first[0]]  # after 4 * bins attempts, the first full bin
-        value[empty] = value[lender]
-    return value
+    alone = np.repeat(sizes == 1, bins)[empty]
+    value[empty[alone]] = value[least[empty[alone] // bins]]
+    empty = empty[~alone]
+    base, place = empty - empty % bins, empty % bins
+    for step in order:
+        if not empty.size:
+            break
+        lender = base + step[place]
+        hit = full[lender]
+        value[empty[hit]] = value[lender[hit]]
+        empty, base, place = empty[~hit], base[~hit], place[~hit]
+    value[empty] = value[least[empty // bins]]
+    return value.reshape(sizes.size, bins)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of a batch in blocks of at most SLICE_BYTES, or one text."""
+    import numpy as np
+
+    texts = plain_strings(batch.column(column))
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)) if len(texts) else np.zeros(0)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_column: str, text_column: str) -> DataFrame:
-    """id, n_shingles, set_hash (null for an empty set), bands: one bucket key per band."""
+    """id, n_shingles, set_hash (128 bits), h (63 bits), bands: one bucket key per band; the last three null for an empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        shingler, order = Shingler(size), probes(bands * rows)
+        order = probes(bands * rows)
         number = np.arange(bands, dtype=np.uint64) * np.uint64(_M3)
         for batch in batches:
-            n, sets, keys = [], [], []
-            for raw in batch.column(1).to_pylist():
-                s = shingler(raw)
-                n.append(s.size)
-                sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if s.size else None)
-                if s.size:
-                    v, key = sketch(s, bands * rows, order).reshape(bands, rows), number
+            for start, texts in _slices(batch, 1):
+                sets = shingle_hashes(texts, size)
+                full = [s for s in sets if s.size]
+                keys = np.zeros((0, bands), np.uint64)
+                if full:
+                    v, keys = sketches(full, bands * rows, order).reshape(len(full), bands, rows), number[None]
                     for k in range(rows):
-                        key = _mix(key * np.uint64(_M1) + v[:, k])
-                    keys.append(key.astype(np.int64))
-                else:
-                    keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_hash", "bands"])
-
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("binary")).mapInArrow(run, "id long, n_shingles long, set_hash string, bands array<long>")
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, shingles) of the documents among `ids`, one row an id."""
+                        keys = _mix(keys * np.uint64(_M1) + v[:, :, k])
+                some = np.array([s.size > 0 for s in sets])
+                offsets = pa.array(np.append(0, np.cumsum(some * bands)), pa.int32(), mask=np.append(~some, False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, len(sets)),
+                        pa.array([s.size for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s) if s.size else None for s in sets], pa.binary()),
+                        pa.array([xxhash.xxh3_64_intdigest(s) >> 1 if s.size else None for s in sets], pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
+                    ],
+                    names=["id", "n_shingles", "set_hash", "h", "bands"],
+                )
+
+    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, "id long, n_shingles long, set_hash binary, h long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    """(rep, h, shingles) of the documents among `wanted` (rep, h), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import xxhash
 
-        shingler = Shingler(size)
         for batch in batches:
-            made = [shingler(raw).view(np.int64) for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for start, texts in _slices(batch, 1):
+                sets = shingle_hashes(texts, size)
+                made = [pa.array([xxhash.xxh3_64_intdigest(s) >> 1 for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), *made], names=["rep", "h", "shingles"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    ids = wanted.select("rep").distinct()
+    rows = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).alias("text")).join(ids.hint("shuffle_hash"), "rep", "left_semi")
+    return rows.mapInArrow(run, "rep long, h long, shingles array<long>").dropDuplicates(["rep", "h"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union on full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(docs, ids, size, id_column, text_column), "sets")
-    one, other = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(other, "b").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of structs (rep, h), those with 100 * intersection >= percent * union on full sets."""
+    one = sets.select(F.struct("rep", "h").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.struct("rep", "h").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").withColumn("same", F.size(F.array_intersect("x", "y")))
+    return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,17 +195,24 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("v", "m").union(least.select(F.col("u").alias("v"), "m")).filter("v <> m")
+        small = large.join(least.hint("merge"), "u").select("v", "m").union(least.select(F.col("u").alias("v"), "m")).filter("v <> m")
         now = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = tuple(seen)
+        mark = seen
+
 
+def _centres(entries: DataFrame, slots: int, turn: int) -> DataFrame:
+    """(key, centres): for each bucket with two labels or more, one member of each of up to `slots` runs of its labels."""
+    slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(slots))
+    each = entries.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("label", "rep", "h", "n")).alias("c"), F.max("label").alias("high"))
+    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("c.label").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "centres")
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Operator 1: per document its id, n_shingles, component_id and kept.
 
     Sets are distinct `size`-word shingles; a shorter text is one shingle; without words the set is empty and linked
@@ -159,44 +220,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     reachable; kept if that is its own.
 
     Equal sets collapse to the smallest id first, so thousands of copies cost one row each. In each bucket that holds
-    two or more components, one document of the rarest component is the centre of a star: all members of other
-    components are candidates with it, confirmed on full sets, and the centre leaves. That repeats until no bucket
-    holds two components, so a bucket's members meet whenever they are not connected already, and pairs stay bounded
-    by members times strangers. Nothing is dropped or capped.
-
-    Repeated rows come out as often as they go in. Rows with a null id take no part: component_id null, not kept. Null
-    texts have no words. Other columns are dropped; an empty table gives an empty table.
+    two or more components, a few members are centres of stars: all members of other components are candidates with
+    them, confirmed on full sets, and the centres leave. Centres grow by four from round to round, up to CENTRES; rounds
+    go on until no bucket holds two components, so any two members of a bucket meet unless they are connected already.
+    Pairs stay bounded by members times strangers, as copies and linked documents are one component after the first
+    round. Nothing is dropped or capped.
+
+    Repeated rows come out as often as they go in; rows that share an id but not a text each count by their own text.
+    Rows with a null id take no part: component_id null, not kept. Null texts have no words. Other columns are dropped;
+    an empty table gives an empty table.
     """
+    rows = rows or bins_per_band(percent, bands)
     signed = materialise(signatures(docs, size, bands, rows, id_column, text_column), "signatures")
     classes = materialise(signed.filter("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
-    members = materialise(signed.join(classes.hint("merge"), "set_hash", "left").select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    found = members.filter("bands is not null").select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n")).distinct()
+    firsts = signed.join(classes.hint("merge"), (signed["set_hash"] == classes["set_hash"]) & (F.col("id") == F.col("rep"))).select("rep", "h", F.col("n_shingles").alias("n"), "bands")
+    found = firsts.select(F.explode("bands").alias("key"), "rep", "h", "n").distinct()
     # only buckets of two or more go on
     crowded = materialise(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "buckets")
     entries = materialise(found.join(crowded.hint("merge"), "key"), "entries").withColumn("label", F.col("rep"))
-    tested, links, labels = None, None, None
+    members = signed.join(classes.hint("merge"), "set_hash", "left").select("id", "n_shingles", "rep")
+    sets = tested = links = labels = None
+    slots, turn = 1, 0
     while True:
-        by_label = entries.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("centre"))
-        stars = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.min(F.struct("c", "label", "centre")).alias("s")).filter("labels > 1")
-        stars = materialise(stars.select("key", F.col("s.label").alias("c_label"), F.col("s.centre.rep").alias("c_rep"), F.col("s.centre.n").alias("c_n")), "stars")
-        if stars.isEmpty():
+        centres = materialise(_centres(entries, slots, turn), "centres")
+        if centres.isEmpty():
             break
-        met = materialise(entries.join(stars.hint("merge"), "key").filter("rep <> c_rep"), "met")
-        pairs = met.filter("label <> c_label").filter(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")).select(F.least("rep", "c_rep").alias("a"), F.greatest("rep", "c_rep").alias("b")).distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        met = entries.join(centres.hint("merge"), "key")
+        here, there = F.struct("rep", "h"), F.struct("c.rep", "c.h")
+        stars = met.select("rep", "h", "n", "label", F.explode("centres").alias("c")).filter("label <> c.label").filter(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+        pairs = stars.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct()
+        pairs = materialise(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         if not pairs.isEmpty():
-            new = materialise(confirm(docs, pairs, size, percent, id_column, text_column), "links")
+            if sets is None:
+                sets = materialise(shingle_sets(docs, entries, size, id_column, text_column), "sets")
+            new = materialise(confirm(pairs, sets, percent), "links")
             if not new.isEmpty():
                 links = new if links is None else links.union(new)
                 labels = materialise(components(links), "labels")
-        entries = met.select("key", "rep", "n")
+        rest = met.filter(~F.exists("centres", lambda c: (c["rep"] == F.col("rep")) & (c["h"] == F.col("h")))).select("key", "rep", "h", "n")
         if labels is not None:
-            entries = entries.join(labels, entries["rep"] == labels["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+            rest = rest.join(labels.hint("merge"), rest["rep"] == labels["id"], "left").select("key", "rep", "h", "n", F.coalesce("component", "rep").alias("label"))
         else:
-            entries = entries.withColumn("label", F.col("rep"))
-        entries = materialise(entries, "entries")
+            rest = rest.withColumn("label", F.col("rep"))
+        entries = materialise(rest, "entries")
+        slots, turn = min(CENTRES, 4 * slots), turn + 1
     if labels is not None:
-        members = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+        members = members.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     own = members.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     return own.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

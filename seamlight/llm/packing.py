@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytepair import plain_strings, ranked
-from .shared import materialise, small_batches
+from .bytepair import ranked
+from .shared import materialise, plain_strings, small_batches
 
 #: Tokens that one task packs: some thousands of sequences, so that what stays open at its end is a small part.
 GROUP_TOKENS = 1 << 24

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytepair import plain_strings, ranked
-from .shared import file_system, materialise, small_batches
+from .bytepair import ranked
+from .shared import file_system, materialise, plain_strings, small_batches
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = ["n_docs", "n_tokens", "n_bytes"]
