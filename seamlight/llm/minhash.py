@@ -15,7 +15,9 @@ from .shared import materialise, plain_strings, small_batches
 BANDS = 42
 #: Two documents just similar enough share no bucket at most so often; bins a bucket follow from it.
 MISS = 1e-4
-#: Centres of one bucket and round, at most: rounds go on until every bucket is done.
+#: Centres of a bucket in the first rounds: its most central members, to which most copies of a text are linked.
+CENTRAL = (1, 4, 16)
+#: Centres of a bucket in a later round, at most; rounds go on until every bucket is done.
 CENTRES = 64
 #: Texts of so many bytes, or one text, are shingled at once.
 SLICE_BYTES = 1 << 22
@@ -190,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds grow with the logarithm of the longest path; each is a few shuffles of the edges, kept in the shared folder.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -205,11 +207,35 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def _centres(entries: DataFrame, slots: int, turn: int) -> DataFrame:
-    """(key, centres): for each bucket with two labels or more, one member of each of up to `slots` runs of its labels."""
+def _central(entries: DataFrame, slots: int, turn: int) -> DataFrame:
+    """(key, centres): for each bucket with two labels or more, up to `slots` members, those of most bucket mates first."""
+    slot = F.pmod(F.xxhash64("rep", "h", F.lit(turn)), F.lit(slots))
+    each = entries.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return _divided(each)
+
+
+def _strangers(entries: DataFrame, slots: int, turn: int) -> DataFrame:
+    """(key, centres): for each bucket with two labels or more, a member of each of up to `slots` labels, of few members first."""
+    each = entries.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"))
     slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(slots))
-    each = entries.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("label", "rep", "h", "n")).alias("c"), F.max("label").alias("high"))
-    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("c.label").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "centres")
+    each = each.groupBy("key", slot.alias("slot")).agg(F.min_by("c", F.struct("members", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return _divided(each)
+
+
+def _divided(each: DataFrame) -> DataFrame:
+    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "centres")
+
+
+def _spread(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(id, component): labels after two steps over the links; a star's members all come to have its least label."""
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = both.union(both.select("a", F.col("a").alias("b")).distinct())
+    if labels is not None:
+        both = both.join(labels.select(F.col("id").alias("b"), "component").hint("merge"), "b", "left").withColumn("l", F.coalesce("component", "b"))
+    else:
+        both = both.withColumn("l", F.col("b"))
+    least = both.groupBy("a").agg(F.min("l").alias("m"))
+    return both.select("a", "b").join(least.withColumnRenamed("a", "b").hint("merge"), "b").groupBy("a").agg(F.min("m").alias("component")).withColumnRenamed("a", "id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -220,11 +246,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     reachable; kept if that is its own.
 
     Equal sets collapse to the smallest id first, so thousands of copies cost one row each. In each bucket that holds
-    two or more components, a few members are centres of stars: all members of other components are candidates with
-    them, confirmed on full sets, and the centres leave. Centres grow by four from round to round, up to CENTRES; rounds
-    go on until no bucket holds two components, so any two members of a bucket meet unless they are connected already.
-    Pairs stay bounded by members times strangers, as copies and linked documents are one component after the first
-    round. Nothing is dropped or capped.
+    two or more labels, a few members are centres of stars: all members of other labels are candidates with them,
+    confirmed on full sets, and the centres leave; linked members take one label. The first rounds take as centres
+    those that share most buckets with others, so the copies of a text get the label of their common origin at once;
+    the later ones take members of the rarest labels. Rounds go on until no bucket holds two labels, so any two members
+    of a bucket meet unless they are connected already, and pairs stay bounded by members times strangers. Nothing is
+    dropped or capped. Components of all links follow at the end.
 
     Repeated rows come out as often as they go in; rows that share an id but not a text each count by their own text.
     Rows with a null id take no part: component_id null, not kept. Null texts have no words. Other columns are dropped;
@@ -236,35 +263,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     firsts = signed.join(classes.hint("merge"), (signed["set_hash"] == classes["set_hash"]) & (F.col("id") == F.col("rep"))).select("rep", "h", F.col("n_shingles").alias("n"), "bands")
     found = firsts.select(F.explode("bands").alias("key"), "rep", "h", "n").distinct()
     # only buckets of two or more go on
-    crowded = materialise(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "buckets")
-    entries = materialise(found.join(crowded.hint("merge"), "key"), "entries").withColumn("label", F.col("rep"))
+    crowded = materialise(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
+    entries = materialise(found.join(crowded.hint("merge"), "key"), "entries")
+    mates = entries.groupBy("rep", "h").agg(F.sum("c").alias("mates"))
+    entries = materialise(entries.drop("c").join(mates.hint("merge"), ["rep", "h"]), "entries").withColumn("label", F.col("rep"))
     members = signed.join(classes.hint("merge"), "set_hash", "left").select("id", "n_shingles", "rep")
     sets = tested = links = labels = None
-    slots, turn = 1, 0
+    turn = 0
     while True:
-        centres = materialise(_centres(entries, slots, turn), "centres")
+        centres = materialise(_central(entries, CENTRAL[turn], turn) if turn < len(CENTRAL) else _strangers(entries, CENTRES, turn), "centres")
         if centres.isEmpty():
             break
         met = entries.join(centres.hint("merge"), "key")
+        # only centres that can be linked with a member are taken out of the array
+        apart = lambda c: (c["label"] != F.col("label")) & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
         here, there = F.struct("rep", "h"), F.struct("c.rep", "c.h")
-        stars = met.select("rep", "h", "n", "label", F.explode("centres").alias("c")).filter("label <> c.label").filter(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
+        stars = met.select("rep", "h", F.explode(F.filter("centres", apart)).alias("c"))
         pairs = stars.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct()
         pairs = materialise(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        fresh = False
         if not pairs.isEmpty():
             if sets is None:
                 sets = materialise(shingle_sets(docs, entries, size, id_column, text_column), "sets")
             new = materialise(confirm(pairs, sets, percent), "links")
-            if not new.isEmpty():
+            if fresh := not new.isEmpty():
                 links = new if links is None else links.union(new)
-                labels = materialise(components(links), "labels")
-        rest = met.filter(~F.exists("centres", lambda c: (c["rep"] == F.col("rep")) & (c["h"] == F.col("h")))).select("key", "rep", "h", "n")
-        if labels is not None:
-            rest = rest.join(labels.hint("merge"), rest["rep"] == labels["id"], "left").select("key", "rep", "h", "n", F.coalesce("component", "rep").alias("label"))
-        else:
-            rest = rest.withColumn("label", F.col("rep"))
+                labels = materialise(_spread(links, labels), "labels")
+        rest = met.filter(~F.exists("centres", lambda c: (c["rep"] == F.col("rep")) & (c["h"] == F.col("h")))).select(*entries.columns)
+        if fresh:
+            rest = rest.join(labels.hint("merge"), rest["rep"] == labels["id"], "left").withColumn("label", F.coalesce("component", "label")).select(*entries.columns)
         entries = materialise(rest, "entries")
-        slots, turn = min(CENTRES, 4 * slots), turn + 1
+        turn += 1
+    if links is not None:
+        labels = components(links)
     if labels is not None:
         members = members.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     own = members.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
