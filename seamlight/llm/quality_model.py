@@ -6,19 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import held_out
-from .training import labelled_sample, score_texts
+from .training import blocks, coded_words, labelled_sample, score_texts
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 EPOCHS, RATE, SAMPLE = 5, 0.3, 2000
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word: the word itself and its character n-grams, edges marked."""
+def word_features(words: list[str]):
+    """(buckets, bounds): of each word, the word's own bucket and those of its character n-grams, edges marked.
+
+    Words count by their first 64 characters in the n-grams; all words are hashed at once, as arrays of code points.
+    """
+    import numpy as np
     import xxhash
 
-    digest, edged = xxhash.xxh3_64_intdigest, f"<{word[:64]}>"
-    parts = {edged[i : i + n] for n in GRAMS for i in range(len(edged) - n + 1)}
-    return [digest("w" + word) % BUCKETS, *sorted(digest("c" + p) % BUCKETS for p in parts)]
+    n = len(words)
+    edged = [f"<{w[:64]}>" for w in words]
+    points = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, edged), np.int64, n))
+    owners, buckets = [np.arange(n)], [np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in words), np.int64, n)]
+    for k in GRAMS:
+        size = max(0, points.size - k + 1)
+        h = np.full(size, k, np.uint64)
+        for j in range(k):
+            h = (h ^ points[j : size + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        whole = owner[:size] == owner[k - 1 : size + k - 1]
+        owners.append(owner[:size][whole])
+        buckets.append((h[whole] >> np.uint64(20)).astype(np.int64) % BUCKETS)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")  # a word's own bucket stays first
+    return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
 def pair_features(first):
@@ -41,25 +59,26 @@ class Model:
         self.weights = (rng.standard_normal((DIM, 2)) * 0.5).astype("f4")
         self.bias = np.zeros(2, "f4")
 
-    def fit(self, texts: list[str], labels, seed: int = 3) -> None:
-        """One text a step, Adagrad by row."""
+    def fit(self, texts: list[str], labels, picked=None, seed: int = 3) -> None:
+        """One text a step, Adagrad by row; `picked` are the places of the texts of a pass, by default each once."""
         import numpy as np
 
-        known: dict[str, list[int]] = {}
         bags = []
-        for text in texts:
-            words = text.split()
-            for w in words:
-                if w not in known:
-                    known[w] = word_features(w)
-            found = [x for w in words for x in known[w]]
-            first = np.array([known[w][0] for w in words], np.int64)
-            bags.append(np.unique(np.concatenate([np.array(found, np.int64), pair_features(first)]), return_counts=True))
+        for start, stop in blocks(texts, 1_000_000):
+            words, code, owner = coded_words(texts[start:stop])
+            flat, bounds = word_features(words)
+            for i in range(stop - start):
+                own = code[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
+                size = bounds[own + 1] - bounds[own]
+                at = np.repeat(bounds[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                rows, count = np.unique(np.concatenate([flat[at], pair_features(flat[bounds[own]])]), return_counts=True)
+                bags.append((rows.astype("i4"), count.astype("i4")))
+        picked = np.arange(len(texts)) if picked is None else picked
         sums, sw = np.full(BUCKETS, 1e-3, "f4"), np.full(self.weights.shape, 1e-2, "f4")
         rng, rate = np.random.default_rng(seed), RATE
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
-            for i in rng.permutation(len(bags)):
+            for i in rng.permutation(picked):
                 rows, count = bags[i]
                 if not rows.size:
                     continue
@@ -87,20 +106,22 @@ class Model:
 
         def score(texts: list[str]):
             out = np.empty(len(texts))
-            for k, text in enumerate(texts):
-                words = text.split()
+            for start, stop in blocks(texts):
+                words, code, owner = coded_words(texts[start:stop])
                 if len(known) > 300_000:
                     known.clear()
-                for w in words:
-                    if w not in known:
-                        f = word_features(w)
-                        known[w] = (float(each[f].sum()), len(f), f[0])
-                total, n = 0.0, 0
-                if words:
-                    value, size, first = zip(*map(known.__getitem__, words))
-                    pairs = pair_features(np.array(first, np.int64))
-                    total, n = sum(value) + float(each[pairs].sum()), sum(size) + pairs.size
-                out[k] = 1 / (1 + np.exp(-np.clip((total / n if n else 0.0) + shift, -30, 30)))
+                fresh = [w for w in words if w not in known]
+                flat, bounds = word_features(fresh)
+                size = np.diff(bounds)
+                value = np.bincount(np.repeat(np.arange(len(fresh)), size), each[flat], len(fresh))
+                known.update(zip(fresh, zip(value.tolist(), size.tolist(), flat[bounds[:-1]].tolist())))
+                value, size, first = (np.array(x) for x in zip(*map(known.__getitem__, words))) if words else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                n = stop - start
+                total, count = np.bincount(owner, value[code], n), np.bincount(owner, size[code], n)
+                same = owner[1:] == owner[:-1]
+                pairs = each[pair_features(first[code])] * same if code.size else np.zeros(0)
+                total, count = total + np.bincount(owner[1:], pairs, n), count + np.bincount(owner[1:], same, n)
+                out[start:stop] = 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + shift, -30, 30)))
             return out
 
         return score
@@ -119,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     # the smaller class is repeated, so that both weigh the same
     few, many = sorted((np.flatnonzero(y == 0), np.flatnonzero(y == 1)), key=len)
     picked = np.concatenate([many, np.resize(few, many.size)])
-    model.fit([rows[i]["text"] for i in picked], y[picked])
+    model.fit([r["text"] for r in rows], y, picked)
     return model
 
 

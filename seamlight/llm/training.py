@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"])), counts
 
 
+def coded_words(texts: list[str]):
+    """(distinct words, code of each word of all texts, text of each word): words stand between blanks of any kind."""
+    import numpy as np
+
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(texts, pa.string())))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code, text = np.asarray(coded.indices).astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(np.asarray(split.offsets)))
+    if "" in words:  # a text without words splits into one empty word
+        some = code != words.index("")
+        code, text = code[some], text[some]
+    return words, code, text
+
+
+def blocks(texts: list[str], most: int = 4_000_000):
+    """(from, to) of runs of texts of at most so many characters, or one text."""
+    start = 0
+    while start < len(texts):
+        stop, chars = start, 0
+        while stop < len(texts) and (stop == start or chars + len(texts[stop]) <= most):
+            chars += len(texts[stop])
+            stop += 1
+        yield start, stop
+        start = stop
+
+
 def score_texts(docs: DataFrame, scorer: Callable, model, columns: tuple[str, ...]) -> DataFrame:
     """The columns and `score` of every row; scorer(model) makes, once in a worker, a function of a list of texts.
 
