@@ -16,9 +16,12 @@ BANDS = 42
 #: Two documents just similar enough share no bucket at most so often; bins a bucket follow from it.
 MISS = 1e-4
 #: Centres of a bucket in the first rounds: its most central members, to which most copies of a text are linked.
-CENTRAL = (1, 4, 16)
+CENTRAL = (1, 4)
 #: Centres of a bucket in a later round, at most; rounds go on until every bucket is done.
 CENTRES = 64
+#: In later rounds, bytes of a marked set (one for each bin), members of a bucket compared at once, and how many standard
+#: deviations below the threshold an estimate by marks must be for a pair to be no candidate (6: once in a billion).
+MARKS, BLOCK, SIGMAS = 2048, 256, 6
 #: Texts of so many bytes, or one text, are shingled at once.
 SLICE_BYTES = 1 << 22
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -113,6 +116,17 @@ def sketches(sets: list, bins: int, order):
     return value.reshape(sizes.size, bins)
 
 
+def band_keys(sketched, bands: int, rows: int):
+    """(sets x bands) bucket keys, which hash a band's number and its bins."""
+    import numpy as np
+
+    v = sketched.reshape(len(sketched), bands, rows)
+    keys = (np.arange(bands, dtype=np.uint64) * np.uint64(_M3))[None]
+    for k in range(rows):
+        keys = _mix(keys * np.uint64(_M1) + v[:, :, k])
+    return keys.view(np.int64)
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of a batch in blocks of at most SLICE_BYTES, or one text."""
     import numpy as np
@@ -135,16 +149,11 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_column: str
         import xxhash
 
         order = probes(bands * rows)
-        number = np.arange(bands, dtype=np.uint64) * np.uint64(_M3)
         for batch in batches:
             for start, texts in _slices(batch, 1):
                 sets = shingle_hashes(texts, size)
                 full = [s for s in sets if s.size]
-                keys = np.zeros((0, bands), np.uint64)
-                if full:
-                    v, keys = sketches(full, bands * rows, order).reshape(len(full), bands, rows), number[None]
-                    for k in range(rows):
-                        keys = _mix(keys * np.uint64(_M1) + v[:, :, k])
+                keys = band_keys(sketches(full, bands * rows, order), bands, rows) if full else np.zeros((0, bands), np.int64)
                 some = np.array([s.size > 0 for s in sets])
                 offsets = pa.array(np.append(0, np.cumsum(some * bands)), pa.int32(), mask=np.append(~some, False))
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +162,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int, id_column: str
                         pa.array([s.size for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s) if s.size else None for s in sets], pa.binary()),
                         pa.array([xxhash.xxh3_64_intdigest(s) >> 1 if s.size else None for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
                     names=["id", "n_shingles", "set_hash", "h", "bands"],
                 )
@@ -179,6 +188,93 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int, id_column: str,
     return rows.mapInArrow(run, "rep long, h long, shingles array<long>").dropDuplicates(["rep", "h"])
 
 
+def marked(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(rep, h, marks, bands): a byte for each of MARKS bins, 0 if empty, else of the bin's smallest hash; and the bucket keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        order = probes(bands * rows)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [np.asarray(x.values).view(np.uint64) for x in batch.column(2)]
+            made = np.zeros((len(found), MARKS), np.uint8)
+            for i, x in enumerate(found):
+                at = ((x >> np.uint64(32)) * np.uint64(MARKS) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                made[i, at[first]] = _mix(x[first]) % np.uint64(255) + np.uint64(1)
+            keys = band_keys(sketches(found, bands * rows, order), bands, rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "h", "marks", "bands"])
+
+    return sets.mapInArrow(run, "rep long, h long, marks binary, bands array<long>")
+
+
+def least_estimate(percent: int, bins, marks: int = MARKS):
+    """The estimate by `bins` full bins that a pair of that similarity falls short of once in a billion.
+
+    Full bins sample the union without replacement: `bins` of about -marks * ln(1 - bins / marks) members.
+    """
+    import numpy as np
+
+    t = percent / 100
+    bins = np.maximum(bins, 1)
+    union = -marks * np.log1p(-np.minimum(bins, marks - 0.5) / marks)
+    return t - SIGMAS * np.sqrt(t * (1 - t) / bins * np.clip(1 - bins / np.maximum(union, bins), 0, 1)) - 2 / bins
+
+
+def near_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of structs (rep, h) from rows (key, members, centres) whose marks say that they may be linked.
+
+    A pair comes out of the first bucket that both are in only; as every bucket is gone through, it is met there.
+    """
+    pair = "a struct<rep:long,h:long>, b struct<rep:long,h:long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def table(column, i):
+            rows = column[i].values
+            get = lambda name: np.asarray(rows.field(name))
+            marks = np.frombuffer(b"".join(rows.field("marks").to_pylist()), np.uint8).reshape(len(rows), MARKS)
+            return get("rep"), get("h"), get("n"), get("label"), marks, np.asarray(rows.field("bands").flatten()).reshape(len(rows), -1)
+
+        for batch in batches:
+            out = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                rep, h, n, label, marks, bands = table(batch.column(1), i)
+                full = marks > 0
+                size = full.sum(1)
+                for c_rep, c_h, c_n, c_label, c_marks, c_bands in zip(*table(batch.column(2), i)):
+                    shared = bands == c_bands
+                    first = shared.argmax(1)
+                    at = np.flatnonzero((label != c_label) & (100 * np.minimum(n, c_n) >= percent * np.maximum(n, c_n)) & (bands[np.arange(rep.size), first] == key) & shared[np.arange(rep.size), first])
+                    if not at.size:
+                        continue
+                    both = (full[at] & (c_marks > 0)).sum(1)
+                    either = size[at] + (c_marks > 0).sum() - both
+                    same = ((marks[at] == c_marks) & full[at]).sum(1)
+                    for j in at[same >= least_estimate(percent, either) * either].tolist():
+                        one, other = (rep[j], h[j]), (c_rep, c_h)
+                        out.append((min(one, other), max(one, other)))
+            kind = pa.struct([("rep", pa.int64()), ("h", pa.int64())])
+            sides = [pa.array([{"rep": int(x[0]), "h": int(x[1])} for x in side], kind) for side in (zip(*out) if out else ((), ()))]
+            yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    return blocks.mapInArrow(run, pair)
+
+
+def _blocks(met: DataFrame, centres: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, members, centres): members of a bucket in blocks of some BLOCK, each with all centres of this round, and their marks."""
+    marks = marks.withColumnsRenamed({"rep": "_rep", "h": "_h"})
+    row = F.struct("rep", "h", "n", "label", "marks", "bands")
+    here = lambda df: df.join(marks.hint("merge"), (F.col("rep") == F.col("_rep")) & (F.col("h") == F.col("_h")))
+    few = here(centres.select("key", F.explode("centres").alias("c")).select("key", "c.*")).groupBy("key").agg(F.collect_list(row).alias("centres"))
+    block = F.pmod(F.xxhash64("rep", "h"), F.ceil(F.col("total") / BLOCK)).alias("block")
+    many = here(met.select("key", "rep", "h", "n", "label", block)).groupBy("key", "block").agg(F.collect_list(row).alias("members"))
+    return many.join(few.hint("merge"), "key").select("key", "members", "centres")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of structs (rep, h), those with 100 * intersection >= percent * union on full sets."""
     one = sets.select(F.struct("rep", "h").alias("a"), F.col("shingles").alias("x"))
@@ -210,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _central(entries: DataFrame, slots: int, turn: int) -> DataFrame:
     """(key, centres): for each bucket with two labels or more, up to `slots` members, those of most bucket mates first."""
     slot = F.pmod(F.xxhash64("rep", "h", F.lit(turn)), F.lit(slots))
-    each = entries.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    each = entries.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
     return _divided(each)
 
 
@@ -218,12 +314,12 @@ def _strangers(entries: DataFrame, slots: int, turn: int) -> DataFrame:
     """(key, centres): for each bucket with two labels or more, a member of each of up to `slots` labels, of few members first."""
     each = entries.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"))
     slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(slots))
-    each = each.groupBy("key", slot.alias("slot")).agg(F.min_by("c", F.struct("members", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+    each = each.groupBy("key", slot.alias("slot")).agg(F.min_by("c", F.struct("members", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("members").alias("members"))
     return _divided(each)
 
 
 def _divided(each: DataFrame) -> DataFrame:
-    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "centres")
+    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("total")).filter("low < high").select("key", "centres", "total")
 
 
 def _spread(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -250,8 +346,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     confirmed on full sets, and the centres leave; linked members take one label. The first rounds take as centres
     those that share most buckets with others, so the copies of a text get the label of their common origin at once;
     the later ones take members of the rarest labels. Rounds go on until no bucket holds two labels, so any two members
-    of a bucket meet unless they are connected already, and pairs stay bounded by members times strangers. Nothing is
-    dropped or capped. Components of all links follow at the end.
+    of a bucket meet unless they are connected already. Later rounds compare members and centres in blocks by byte marks
+    of their sets, so that of the many strangers in a crowd of loosely similar texts only those become pairs that full
+    sets may confirm. Nothing is dropped or capped. Components of all links follow at the end.
 
     Repeated rows come out as often as they go in; rows that share an id but not a text each count by their own text.
     Rows with a null id take no part: component_id null, not kept. Null texts have no words. Other columns are dropped;
@@ -268,24 +365,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     mates = entries.groupBy("rep", "h").agg(F.sum("c").alias("mates"))
     entries = materialise(entries.drop("c").join(mates.hint("merge"), ["rep", "h"]), "entries").withColumn("label", F.col("rep"))
     members = signed.join(classes.hint("merge"), "set_hash", "left").select("id", "n_shingles", "rep")
-    sets = tested = links = labels = None
+    sets = marks = tested = links = labels = None
+    firsts_of = entries
     turn = 0
     while True:
         centres = materialise(_central(entries, CENTRAL[turn], turn) if turn < len(CENTRAL) else _strangers(entries, CENTRES, turn), "centres")
         if centres.isEmpty():
             break
         met = entries.join(centres.hint("merge"), "key")
-        # only centres that can be linked with a member are taken out of the array
-        apart = lambda c: (c["label"] != F.col("label")) & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
-        here, there = F.struct("rep", "h"), F.struct("c.rep", "c.h")
-        stars = met.select("rep", "h", F.explode(F.filter("centres", apart)).alias("c"))
-        pairs = stars.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct()
+        if turn < len(CENTRAL):
+            # only centres that can be linked with a member are taken out of the array
+            apart = lambda c: (c["label"] != F.col("label")) & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
+            here, there = F.struct("rep", "h"), F.struct("c.rep", "c.h")
+            stars = met.select("rep", "h", F.explode(F.filter("centres", apart)).alias("c"))
+            pairs = stars.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).distinct()
+        else:
+            if sets is None:
+                sets = materialise(shingle_sets(docs, firsts_of, size, id_column, text_column), "sets")
+            if marks is None:
+                marks = materialise(marked(sets, bands, rows), "marks")
+            pairs = near_pairs(_blocks(met, centres, marks), percent)
         pairs = materialise(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         fresh = False
         if not pairs.isEmpty():
             if sets is None:
-                sets = materialise(shingle_sets(docs, entries, size, id_column, text_column), "sets")
+                sets = materialise(shingle_sets(docs, firsts_of, size, id_column, text_column), "sets")
             new = materialise(confirm(pairs, sets, percent), "links")
             if fresh := not new.isEmpty():
                 links = new if links is None else links.union(new)
