@@ -18,7 +18,7 @@ MISS = 1e-4
 #: Centres of a bucket in the first rounds: its most central members, to which most copies of a text are linked.
 CENTRAL = (1, 4)
 #: Centres of a bucket in a later round, at most; rounds go on until every bucket is done.
-CENTRES = 64
+CENTRES = 256
 #: In later rounds, bytes of a marked set (one for each bin), members of a bucket compared at once, and how many standard
 #: deviations below the threshold an estimate by marks must be for a pair to be no candidate (6: once in a billion).
 MARKS, BLOCK, SIGMAS = 2048, 256, 6
@@ -280,7 +280,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.struct("rep", "h").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.struct("rep", "h").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).filter("a <> b").distinct()
+    return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).filter("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,7 +358,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     signed = materialise(signatures(docs, size, bands, rows, id_column, text_column), "signatures")
     classes = materialise(signed.filter("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
     firsts = signed.join(classes.hint("merge"), (signed["set_hash"] == classes["set_hash"]) & (F.col("id") == F.col("rep"))).select("rep", "h", F.col("n_shingles").alias("n"), "bands")
-    found = firsts.select(F.explode("bands").alias("key"), "rep", "h", "n").distinct()
+    firsts = materialise(firsts.dropDuplicates(["rep", "h"]), "firsts")
+    found = firsts.select(F.explode("bands").alias("key"), "rep", "h", "n")
     # only buckets of two or more go on
     crowded = materialise(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
     entries = materialise(found.join(crowded.hint("merge"), "key"), "entries")
