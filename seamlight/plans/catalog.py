@@ -100,8 +100,8 @@ def ivf_recall(spark, d):
     """Recall at 5 of inverted lists, narrow, and widened where the gap is small."""
     e, q, truth = table(spark, d, "embeddings"), vector_queries(spark, d), _truth(spark, d)
     index = knn.InvertedLists.build(e)
-    narrow = knn.recall(index.search(q, 5, 6), truth, "id").select(F.lit("probes_6").alias("setting"), "recall")
-    return narrow.unionByName(knn.recall(index.search(q, 5, 6, widen_below=0.15), truth, "id").select(F.lit("adaptive").alias("setting"), "recall"))
+    narrow = knn.recall(index.search(q, 5, 12), truth, "id").select(F.lit("probes_12").alias("setting"), "recall")
+    return narrow.unionByName(knn.recall(index.search(q, 5, 12, widen_below=0.15), truth, "id").select(F.lit("adaptive").alias("setting"), "recall"))
 
 
 def lsh_recall(spark, d):
