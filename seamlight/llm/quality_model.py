@@ -10,33 +10,49 @@ from .training import blocks, coded_words, labelled_sample, score_texts
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4)
 EPOCHS, RATE, SAMPLE = 5, 0.3, 2000
+#: Characters of words hashed at once.
+PIECE = 300_000
 
 
-def word_features(words: list[str]):
-    """(buckets, bounds): of each word, the word's own bucket and those of its character n-grams, edges marked.
+def feature_pieces(words: list[str]):
+    """(word, bucket) arrays of all features: each word's own bucket first, then its character n-grams, edges marked.
 
-    Words count by their first 64 characters in the n-grams; all words are hashed at once, as arrays of code points.
+    Words are hashed together, as arrays of code points, in blocks of whole words; a longer word follows in windows, so
+    memory does not grow with its length, and what a word gives does not depend on its neighbours.
     """
     import numpy as np
     import xxhash
 
-    n = len(words)
-    edged = [f"<{w[:64]}>" for w in words]
-    points = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(n), np.fromiter(map(len, edged), np.int64, n))
-    owners, buckets = [np.arange(n)], [np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in words), np.int64, n)]
-    for k in GRAMS:
-        size = max(0, points.size - k + 1)
-        h = np.full(size, k, np.uint64)
-        for j in range(k):
-            h = (h ^ points[j : size + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        whole = owner[:size] == owner[k - 1 : size + k - 1]
-        owners.append(owner[:size][whole])
-        buckets.append((h[whole] >> np.uint64(20)).astype(np.int64) % BUCKETS)
-    owner = np.concatenate(owners)
+    for start, stop in blocks(words, PIECE):
+        edged = [f"<{w}>" for w in words[start:stop]]
+        chars = "".join(edged)
+        for at in range(0, max(1, len(chars) - min(GRAMS) + 1), 3 * PIECE):  # one window, but for a single long word
+            points = np.frombuffer(chars[at : at + 3 * PIECE + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            owner = np.full(points.size, start) if stop - start == 1 else np.repeat(np.arange(start, stop), np.fromiter(map(len, edged), np.int64, stop - start))
+            owners, buckets = [], []
+            if not at:
+                owners.append(np.arange(start, stop))
+                buckets.append(np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in words[start:stop]), np.int64, stop - start))
+            for k in GRAMS:
+                size = min(max(0, points.size - k + 1), 3 * PIECE)
+                h = np.full(size, k, np.uint64)
+                for j in range(k):
+                    h = (h ^ points[j : size + j]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                whole = owner[:size] == owner[k - 1 : size + k - 1]
+                owners.append(owner[:size][whole])
+                buckets.append((h[whole] >> np.uint64(20)).astype(np.int64) % BUCKETS)
+            yield np.concatenate(owners), np.concatenate(buckets)
+
+
+def word_features(words: list[str]):
+    """(buckets, bounds): of each word, the word's own bucket and those of its character n-grams."""
+    import numpy as np
+
+    pieces = [(o.astype("i4"), b.astype("i4")) for o, b in feature_pieces(words)] or [(np.zeros(0, "i4"),) * 2]
+    owner, bucket = (np.concatenate(x) for x in zip(*pieces))
     order = np.argsort(owner, kind="stable")  # a word's own bucket stays first
-    return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(n + 1))
+    return bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
 def pair_features(first):
@@ -103,18 +119,26 @@ class Model:
         each = (self.embedding @ (self.weights[:, 1] - self.weights[:, 0])).astype("f8")
         shift = float(self.bias[1] - self.bias[0])
         known: dict[str, tuple[float, int, int]] = {}
+        held = 0  # characters of the known words
 
         def score(texts: list[str]):
+            nonlocal held
             out = np.empty(len(texts))
             for start, stop in blocks(texts):
                 words, code, owner = coded_words(texts[start:stop])
-                if len(known) > 300_000:
+                if len(known) > 300_000 or held > 20_000_000:
                     known.clear()
+                    held = 0
                 fresh = [w for w in words if w not in known]
-                flat, bounds = word_features(fresh)
-                size = np.diff(bounds)
-                value = np.bincount(np.repeat(np.arange(len(fresh)), size), each[flat], len(fresh))
-                known.update(zip(fresh, zip(value.tolist(), size.tolist(), flat[bounds[:-1]].tolist())))
+                held += sum(map(len, fresh))
+                value, size, first = np.zeros(len(fresh)), np.zeros(len(fresh), np.int64), np.full(len(fresh), -1)
+                for word, bucket in feature_pieces(fresh):
+                    low, most = int(word[0]), int(word.max()) + 1  # a piece has whole words, or some of one
+                    value[low:most] += np.bincount(word - low, each[bucket])
+                    size[low:most] += np.bincount(word - low)
+                    own = first[low:most]
+                    own[:] = np.where(own < 0, bucket[: most - low], own)  # own buckets come first, in the words' order
+                known.update(zip(fresh, zip(value.tolist(), size.tolist(), first.tolist())))
                 value, size, first = (np.array(x) for x in zip(*map(known.__getitem__, words))) if words else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
                 n = stop - start
                 total, count = np.bincount(owner, value[code], n), np.bincount(owner, size[code], n)

@@ -301,6 +301,23 @@ def test_classifiers_awkward(spark, sf, docs, awkward, empty, module):
     assert {r["score"] for r in blank.collect()} == {0.5} and blank.filter("doc_id is null and held_out").count() == 2
 
 
+def test_op9_whole_words(monkeypatch):
+    """A text without blanks counts to its end, in one window or several, in training and in scoring."""
+    head = "".join(chr(0x4E00 + i) for i in range(64))
+    tails = [chr(0x5000) * 40 + chr(0x5001 + i) for i in range(5)], [chr(0x6000) * 40 + chr(0x6001 + i) for i in range(5)]
+    model = quality_model.Model()
+    model.fit([head + t for t in (*tails[0], *tails[1])] * 20, ([0] * 5 + [1] * 5) * 20)
+    texts = [head + chr(0x5000) * 50, head + chr(0x6000) * 50, "", "a b a", "ab " * 30]
+    low, high, *_ = whole = model.scorer()(texts)
+    assert low < 0.4 and high > 0.6
+    word = "<" + texts[0] + ">"
+    grams = [word[i : i + k] for k in quality_model.GRAMS for i in range(len(word) - k + 1)]
+    assert np.diff(quality_model.word_features(texts[:1])[1]) == 1 + len(grams)
+    for piece in range(1, 40):  # the last window is of any length
+        monkeypatch.setattr(quality_model, "PIECE", piece)
+        assert np.allclose(model.scorer()(texts), whole, atol=1e-12)
+
+
 def test_op10_rollup(spark, sf, docs):
     rows = docs.collect()
     ids = pack_ids([r["text"] for r in rows])
