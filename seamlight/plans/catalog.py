@@ -406,7 +406,7 @@ def stream_lww(spark, d):
 
 
 def stream_tumbling_events(spark, d):
-    out = changes.stream_tumbling(_events(spark, d), "1 day", "2 days")
+    out = changes.stream_tumbling(_events(spark, d), "1 day")
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -1,5 +1,9 @@
 """Small literal cases of single operators."""
 
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,6 +13,7 @@ from seamlight.functions import embed, text, vector
 from seamlight.operators import context, entities, ingest, knn, objects, ranking, sync
 from seamlight.operators.lexical import LexicalIndex
 from seamlight.operators.retrieval import RetrievalSpec, linked_chunks, retrieve
+from seamlight.plans import catalog
 from seamlight.sources.store import Store
 
 SMALL = ["the quick brown fox jumps over the lazy dog", "a fast auburn fox leaps across a sleepy hound", "stock market prices rallied after the announcement", " ".join(["fox"] * 10), "the dog slept"]
@@ -218,3 +223,21 @@ def test_hash_embedding():
 
     for e in (embed.HashEmbedder(dim=16), embed.HashEmbedder({"[CLS]": 0, "a": 1}, 16)):
         assert np.linalg.norm(e.embed("a text")) == pytest.approx(1) and e.embed("")[0] == 1 and (e.embed("a") == e.embed("a")).all()
+
+
+def test_tumbling_stream_of_many_files(spark, tmp_path):
+    """More files than one micro-batch reads, the latest first: no row is late."""
+    day, files = 86_400, 130
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(files):
+        stamps = pa.array([(files - i) * day * 10**6 + 5, (files - i) // 2 * day * 10**6], pa.timestamp("us"))
+        path = tmp_path / "events.parquet" / f"part-{i:05}.parquet"
+        pq.write_table(pa.table({"event_id": [2 * i, 2 * i + 1], "ts": stamps, "user_id": [1, 2], "event_type": ["a", "a"], "value": [1.0, 2.0], "props": ["", ""]}), path)
+        os.utime(path, (10**9 + i, 10**9 + i))  # files are taken by age
+    want: dict[int, tuple[int, float]] = {}
+    for i in range(files):
+        for at, value in (((files - i) * day, 1.0), ((files - i) // 2 * day, 2.0)):
+            n, total = want.get(at, (0, 0.0))
+            want[at] = n + 1, total + value
+    got = {r["window_start"]: (r["n"], r["total"]) for r in catalog.stream_tumbling_events(spark, str(tmp_path)).collect()}
+    assert got == want and sum(n for n, _ in got.values()) == 2 * files
