@@ -1,6 +1,9 @@
 """The corpus pipeline, stage by stage, against the operators' own brute-force rules."""
 
+from collections import Counter
+
 import corpus_pipeline as p
+from pyspark.sql import functions as F
 from test_llm import linked
 
 from seamlight.llm import toxicity
@@ -30,3 +33,16 @@ def test_empty(spark, sf):
     none = table(spark, sf, "documents").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+def test_rows_are_decided_one_by_one(spark, sf):
+    """A null id is a document like others, and a sibling of the same id neither saves a row nor condemns it."""
+    docs = table(spark, sf, "documents")
+    kept = sorted(r["text"] for r in p.keep_quality(spark, docs, sf).collect())
+    twins = docs.unionByName(docs.withColumn("text", F.lit("too short")))
+    assert kept and not any(r["text"] == "too short" for r in p.keep_quality(spark, twins, sf).collect())
+
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (7, words[1]), (5, words[2]), (5, words[2]), (5, words[3]), (3, words[3]), (None, None)]
+    got = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, words[0]), (7, words[1]), (5, words[2]), (3, words[3]), (None, None)])
