@@ -20,7 +20,7 @@ def pack_order(lengths, capacity: int):
     """Sum-of-squares packing of one group: (bin, offset) arrays for the lengths (1..capacity), bins numbered from 0.
 
     Pieces are placed by falling length (ties: as they stand). Each goes where the sum over gaps of (open bins with that
-    gap) squared becomes smallest, a new bin being one of the places; of equal places, the smallest gap is taken.
+    gap) squared becomes smallest; of equal places, the smallest gap is taken. A new bin is opened only if no open one fits.
     """
     import numpy as np
 
@@ -32,13 +32,11 @@ def pack_order(lengths, capacity: int):
     for i in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[i])
         gaps = s + np.flatnonzero(count[s:capacity])
-        best_gap, best = capacity, 2 * int(count[capacity - s]) + 1 if s < capacity else 0
+        best_gap = capacity
         if gaps.size:
             # count[g] falls by one, count[g - s] grows by one, unless nothing is left open
             change = -2 * count[gaps] + 1 + np.where(gaps > s, 2 * count[gaps - s] + 1, 0)
-            k = int(np.argmin(change))
-            if change[k] <= best:
-                best_gap = int(gaps[k])
+            best_gap = int(gaps[np.argmin(change)])
         if best_gap == capacity:
             b, bins = bins, bins + 1
         else:

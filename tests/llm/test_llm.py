@@ -146,6 +146,21 @@ def test_sum_of_squares_rule():
     assert len(set(to_bin.tolist())) == 4 and offset.max() <= 7
 
 
+def test_packing_fills_open_bins():
+    """No worse than plain best fit by more than a few sequences, where a third or half of the pieces are of one length."""
+    rng = np.random.default_rng(1)
+    for lengths in (np.append(np.full(10_000, 700), rng.integers(1, 2049, 20_000)), np.append(np.ones(20_000, int), rng.integers(1, 2049, 20_000)), rng.integers(500, 900, 20_000)):
+        count, bins = np.zeros(2049, int), 0
+        for n in np.sort(lengths)[::-1]:
+            gaps = n + np.flatnonzero(count[n:2048])
+            gap = gaps[0] if gaps.size else 2048
+            bins += not gaps.size
+            count[gap] -= gap < 2048
+            count[gap - n] += gap > n
+        to_bin, _ = packing.pack_order(lengths, 2048)
+        assert np.bincount(to_bin, lengths).max() <= 2048 and to_bin.max() + 1 <= bins * 1.001
+
+
 def test_op3(spark, sf):
     same(registry.op3_warc(spark, sf), registry.SQL["op3_warc"], sf)
 
