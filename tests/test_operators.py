@@ -241,3 +241,19 @@ def test_tumbling_stream_of_many_files(spark, tmp_path):
             want[at] = n + 1, total + value
     got = {r["window_start"]: (r["n"], r["total"]) for r in catalog.stream_tumbling_events(spark, str(tmp_path)).collect()}
     assert got == want and sum(n for n, _ in got.values()) == 2 * files
+
+
+def test_delta_holds_every_kind(spark, sf, monkeypatch):
+    """All four kinds are written, and a text or an edge that does not come back is seen."""
+    read, kinds = sync.read_delta, {}
+
+    def damaged(session, path):
+        rows = read(session, path)
+        kinds.update({r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()})
+        return rows.filter("kind <> 'edge'").withColumn("chunk", F.when(F.col("chunk").isNotNull(), F.col("chunk").withField("text", F.lit(""))))
+
+    edges = catalog.order_edges(spark, sf).count()
+    monkeypatch.setattr(sync, "read_delta", damaged)
+    lost = {r["writer"]: r["count"] for r in catalog.delta_round_trip(spark, sf).filter("id is null").groupBy("writer").count().collect()}
+    assert set(kinds) == {"record", "edge", "chunk", "tombstone"} and kinds["edge"] == edges
+    assert lost == {"edge": edges, "chunk": 2 * kinds["chunk"]}
