@@ -61,10 +61,14 @@ def op9_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents come in; copies of a text are deleted; that delete is sent once more."""
-    counts = materialise(rollups.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "byte_bpe_50k/1"), "counts")
+    """Totals after four batches: all documents come in under another vocabulary; all are recounted under a second tokenizer
+    version; copies of a text are deleted; that delete is sent once more."""
+    docs = table(spark, sf_dir, "documents")
+    old = materialise(rollups.count_tokens(docs, "byte_bpe_multi_50k.tiktoken", "byte_bpe_multi_50k/1"), "counts")
+    counts = materialise(rollups.count_tokens(docs, "byte_bpe_50k.json", "byte_bpe_50k/1"), "counts")
     rollup = rollups.Rollup(spark, scratch(spark, "rollup"))
-    rollup.commit("load", counts)
+    rollup.commit("load", old)
+    rollup.commit("recount", rollups.revise(old, counts))
     copies = rollups.retract(rollups.copies_of(counts))
     rollup.commit("drop-copies", copies)
     rollup.commit("drop-copies", copies)

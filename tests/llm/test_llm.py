@@ -348,6 +348,22 @@ def test_op10_rollup(spark, sf, docs):
     assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_bytes"]) for r in got} == {(s, g): tuple(want[s, g, k] for k in "dtb") for s, g, k in want if k == "d"}
 
 
+def test_op10_recounts_the_table(spark, sf, docs, monkeypatch):
+    """A batch of the query takes every document's count back under one tokenizer version and brings it in under another."""
+    commit, seen = rollups.Rollup.commit, {}
+
+    def watched(self, batch, changes):
+        by = changes.groupBy("tokenizer_version", "sign").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
+        seen.setdefault(batch, {(r["tokenizer_version"], r["sign"]): (r["n"], r["tokens"]) for r in by})
+        return commit(self, batch, changes)
+
+    monkeypatch.setattr(rollups.Rollup, "commit", watched)
+    total = {r["tokenizer_version"] for r in registry.op10_token_rollup(spark, sf).collect()}
+    (load,), moved, n = seen["load"], seen["recount"], docs.count()
+    assert len(total) == 1 and moved.keys() == {(load[0], -1), (*total, 1)} and load[0] not in total
+    assert {v[0] for v in moved.values()} == {n} and moved[load[0], -1] == seen["load"][load] and len({v[1] for v in moved.values()}) == 2
+
+
 def test_op10_batches(spark, awkward, empty):
     rollup = rollups.Rollup(spark, scratch(spark, "rollup"))
     counts = rollups.count_tokens(awkward, "byte_bpe_50k.json", "1").persist()
