@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..functions.session import file_system
+from .versions import Versions
 
 SCHEMAS = {
     "chunks": "chunk_id long, text string, embedding array<float>, doc_id long, page_number long, sync_clock long",
@@ -19,38 +17,41 @@ SCHEMAS = {
 
 
 class Store:
-    """The base tables of one database. `save` writes a new version aside and renames it; readers see whole versions."""
+    """The base tables of one database. `save` commits a new version in one step; readers see whole versions.
+
+    Of two writers that opened the same version, one saves and the other gets `Conflict` and opens the store again.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, tables: dict[str, DataFrame] | None = None, version: int = 0):
+        self.spark, self.path, self.version = spark, path.rstrip("/"), version
         self.tables = {k: (tables or {}).get(k, spark.createDataFrame([], s)) for k, s in SCHEMAS.items()}
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Store:
-        """The newest version; an empty database where there is none. A damaged table raises when it is read."""
-        v = cls.versions(spark, path)
+    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> Store:
+        """The newest version, or the given one; an empty database where there is none. A damaged table raises when it is read."""
+        known = Versions(spark, path)
+        v = known.latest() if version is None else version
         if not v:
             return cls(spark, path)
-        return cls(spark, path, {k: spark.read.schema(s).parquet(f"{path.rstrip('/')}/v={v[-1]}/{k}") for k, s in SCHEMAS.items()})
+        folder = known.folder(v)
+        return cls(spark, path, {k: spark.read.schema(s).parquet(f"{folder}/{k}") for k, s in SCHEMAS.items()}, v)
 
     @staticmethod
     def versions(spark: SparkSession, path: str) -> list[int]:
-        fs, to_path = file_system(spark, path)
-        if not fs.exists(to_path(path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(to_path(path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+        return Versions(spark, path).numbers()
 
     def save(self) -> int:
-        """Writes the next version; raises if another writer was first."""
-        v = ([0, *self.versions(self.spark, self.path)])[-1] + 1
-        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        """Commits the version after the one that was opened."""
+        known = Versions(self.spark, self.path)
+        folder = known.new_folder("tables")
         for name, df in self.tables.items():
-            df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema)).write.parquet(f"{aside}/{name}")
-        fs, to_path = file_system(self.spark, self.path)
-        if fs.exists(to_path(f"{self.path}/v={v}")) or not fs.rename(to_path(aside), to_path(f"{self.path}/v={v}")):
-            raise RuntimeError(f"version {v} was saved by another writer; open the store again")
-        return v
+            df.select(*(F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], SCHEMAS[name]).schema)).write.parquet(f"{folder}/{name}")
+        self.version = known.publish(folder, self.version + 1)
+        return self.version
+
+    def chunk(self, chunk_id: int) -> DataFrame:
+        """The chunk of an id: one row, or none. The filter reaches the Parquet scan."""
+        return self.tables["chunks"].filter(F.col("chunk_id") == chunk_id)
 
     def __enter__(self) -> Store:
         return self

@@ -15,6 +15,7 @@ from seamlight.operators.lexical import LexicalIndex
 from seamlight.operators.retrieval import RetrievalSpec, linked_chunks, retrieve
 from seamlight.plans import catalog
 from seamlight.sources.store import Store
+from seamlight.sources.versions import Conflict, Versions
 
 SMALL = ["the quick brown fox jumps over the lazy dog", "a fast auburn fox leaps across a sleepy hound", "stock market prices rallied after the announcement", " ".join(["fox"] * 10), "the dog slept"]
 
@@ -257,3 +258,28 @@ def test_delta_holds_every_kind(spark, sf, monkeypatch):
     lost = {r["writer"]: r["count"] for r in catalog.delta_round_trip(spark, sf).filter("id is null").groupBy("writer").count().collect()}
     assert set(kinds) == {"record", "edge", "chunk", "tombstone"} and kinds["edge"] == edges
     assert lost == {"edge": edges, "chunk": 2 * kinds["chunk"]}
+
+
+def test_two_writers_of_a_version(spark, tmp_path):
+    """Two that opened the same version: one saves, the other is told, and nothing of the first is lost."""
+    path = f"file://{tmp_path}/db"
+    one, other = Store.open(spark, path), Store.open(spark, path)
+    edge = "relation string, from_id long, to_id long"
+    one.tables["edges"], other.tables["edges"] = table(spark, [("r", 1, 2)], edge), table(spark, [("r", 3, 4)], edge)
+    assert one.save() == 1
+    with pytest.raises(Conflict):
+        other.save()
+    assert [r["from_id"] for r in Store.open(spark, path).tables["edges"].collect()] == [1]
+    again = Store.open(spark, path)
+    again.tables["edges"] = again.tables["edges"].unionByName(other.tables["edges"])
+    assert again.save() == 2 and Store.open(spark, path).tables["edges"].count() == 2 and Store.open(spark, path, 1).tables["edges"].count() == 1
+
+
+def test_versions_publish_once(spark, tmp_path):
+    """Both writers are past every look at what is there when they publish."""
+    known = Versions(spark, f"file://{tmp_path}/v")
+    folders = [known.new_folder() for _ in range(2)]
+    assert known.publish(folders[0], 1) == 1
+    with pytest.raises(Conflict):
+        known.publish(folders[1], 1)
+    assert known.folder(1) == folders[0] and known.numbers() == [1] and known.folder(2) is None
