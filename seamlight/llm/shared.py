@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import arrow_rows, importable
+from ..functions.session import arrow_rows, discard, drop_path, file_system, importable, materialise, scratch, shared_dir
+
+__all__ = ["discard", "drop_path", "file_system", "materialise", "scratch", "shared_dir"]
 
 #: What separates words: space and the five ASCII controls 0x09-0x0D (as a Java character class).
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -18,45 +18,14 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 512
 #: A side of a join is broadcast up to so many rows of a few dozen bytes.
 BROADCAST_ROWS = 100_000
+#: A key of more rows is a hub, whose side of a join is broadcast or repeated.
+HUB_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of this machine only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seamlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/seamlight/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder, which outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def file_system(spark: SparkSession, path: str):
-    """(Hadoop file system, Path constructor) of a path."""
-    jvm = spark.sparkContext._jvm
-    to_path = jvm.org.apache.hadoop.fs.Path
-    return to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to_path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    fs, to_path = file_system(spark, path)
-    fs.delete(to_path(path), True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """For what runs in Python: Arrow batches of at most BATCH_ROWS rows, and workers that can import this package."""
     importable(spark)
@@ -80,3 +49,28 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hub_join(rows: DataFrame, values: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join with a table of one row a key, whose column `size` says how many of the rows have that key at least.
+
+    Keys of more than `limit` rows are broadcast: as they have more than `limit` rows each, there are fewer of them than
+    all rows over `limit`, which is BROADCAST_ROWS at most. The others are dealt by key, so no task gets more than
+    `limit` rows of one key. `rows` and `values` are read twice and should be written tables. `size` is left out.
+    """
+    total = values.agg(F.sum(size)).first()[0] or 0
+    limit = max(HUB_ROWS, -(-total // BROADCAST_ROWS))
+    hubs, rest = values.filter(F.col(size) > limit).drop(size), values.filter(F.col(size) <= limit).drop(size)
+    if hubs.isEmpty():
+        return rows.join(rest.hint("merge"), key)
+    few = F.broadcast(hubs)
+    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    return rows.join(few, key).unionByName(others)
