@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, materialise, small_batches
 
 MAGIC = b"WARC/1.0\r\n"
-#: Records of one archive, at most; so a file that one task reads is bounded by records, not by the corpus.
-FILE_RECORDS = 250
+#: Records of one archive, and bytes of their payloads, at most, or one record: what a task reads at once is bounded.
+FILE_RECORDS, FILE_BYTES = 250, 1 << 28
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
 #: A block of an archive whose record starts are looked for at once.
@@ -22,7 +22,7 @@ BLOCK = 1 << 20
 
 
 def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> None:
-    """One record per row, in files of at most FILE_RECORDS records.
+    """One record per row, in files of at most FILE_RECORDS records, fewer where payloads are so long that they might pass FILE_BYTES.
 
     Of equal payloads of REVISIT_BYTES or more, the row with the largest id holds the payload and the others are revisits
     that name it. A null payload is empty, a null url leaves its header out, and of rows with one id each is written; rows
@@ -33,6 +33,7 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     # first the few digests that come twice or more: texts never move for this
     twice = rows.filter((F.col("bytes") >= REVISIT_BYTES) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.max("id").alias("holder"), F.count("*").alias("c")).filter("c > 1").drop("c")
     twice = materialise(twice, "twice")
+    largest = rows.agg(F.max("bytes")).first()[0] or 0
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice.hint("merge")
     joined = rows.join(twice, ["digest", "bytes"], "left").withColumn("refers", F.when(F.col("holder") != F.col("id"), F.col("holder")))
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
@@ -53,27 +54,50 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
         body,
         F.lit("\r\n"),
     )  # the sink's line end is the second of the two that close a record
-    joined.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    each = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, largest)))
+    joined.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", each).text(path)
 
 
-_LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
+#: Header lines; numbers of at most 18 digits, so that whatever a page imitates fits in 64 bits.
+_FIELD = re.compile(rb"^([!-9;-~]+):[ \t]*(.*?)[ \t]*$")
+_NUMBER, _PAGE = re.compile(rb"\d{1,18}"), re.compile(rb"<urn:page:(-?\d{1,19})>")
+
+
+def fields_of(head: bytes) -> dict[bytes, bytes]:
+    """The header fields by lower-case name, the first of equal names; lines that are no field are passed over."""
+    found: dict[bytes, bytes] = {}
+    for line in head.split(b"\r\n"):
+        if m := _FIELD.match(line):
+            found.setdefault(m[1].lower(), m[2])
+    return found
+
+
+def number_of(raw: bytes | None) -> int | None:
+    return int(raw) if raw is not None and _NUMBER.fullmatch(raw) else None
+
+
+def page_of(raw: bytes | None) -> int | None:
+    m = _PAGE.fullmatch(raw) if raw is not None else None
+    return int(m[1]) if m and -(2**63) <= int(m[1]) < 2**63 else None
 
 
 def candidates(content: bytes, start: int, stop: int) -> Iterator[tuple[int, int, dict[bytes, bytes], int, int]]:
-    """(offset, successor, headers, body from, body to) of every place in [start, stop) that reads like a record.
+    """(offset, successor, fields, body from, body to) of every place in [start, stop) that reads like a record.
 
+    That is the magic at the file's start or after a blank line, a header that a blank line ends, and a sound length. As
+    a header ends at its first blank line, no two headers overlap, and a page full of magics costs no more than others.
     The successor is -1 where the length leads past the end or not to the blank lines that close a record.
     """
     at = content.find(MAGIC, start)
     while 0 <= at < stop:
-        end = content.find(b"\r\n\r\n", at)
-        head = content[at : end + 2] if end >= 0 else b""
-        if m := _LENGTH.search(head):
-            body = end + 4
-            close = body + int(m[1])
-            good = content[close : close + 4] == b"\r\n\r\n"
-            fields = dict(x.split(b": ", 1) for x in head[len(MAGIC) :].split(b"\r\n") if b": " in x)
-            yield at, close + 4 if good else -1, fields, body, min(close, len(content))
+        if at == 0 or content[at - 4 : at] == b"\r\n\r\n":
+            end = content.find(b"\r\n\r\n", at)
+            fields = fields_of(content[at + len(MAGIC) : end]) if end >= 0 else {}
+            if (length := number_of(fields.get(b"content-length"))) is not None:
+                body = end + 4
+                close = body + length
+                good = content[close : close + 4] == b"\r\n\r\n"
+                yield at, close + 4 if good else -1, fields, body, min(close, len(content))
         at = content.find(MAGIC, at + 1)
 
 
@@ -108,31 +132,41 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     start by pointer jumping, and places inside payloads, which no record leads to, fall out. payload_bytes and
     payload_digest are measured on the bytes of responses, and taken from the header of revisits. Only these few numbers
     of a record are shuffled.
+
+    A payload is hashed only where a task has come to it from record to record, so look-alikes inside a payload cost no
+    more than their own bytes; they are emitted without digest, and pointer jumping is what rejects them. A record that
+    its own length does not close ends its file's chain and is left out. Malformed fields give null: an id that is no 64-bit number, a length that is none or of over 18 digits (then the place is no
+    record), a revisit without a sound length or digest. Without archives the result is empty.
     """
     small_batches(spark)
-    number = lambda raw: int(raw[10:-1]) if raw and raw.startswith(b"<urn:page:") else None
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = content.as_py()
+                content, due = content.as_py(), 0  # due: where the next record of the chain begins; -1 once it is broken
                 for start in range(0, max(1, len(content)), BLOCK):
                     rows = []
                     for at, successor, fields, a, b in candidates(content, start, start + BLOCK):
-                        kind = fields.get(b"WARC-Type", b"").decode("latin-1")
+                        kind = fields.get(b"warc-type", b"").decode("latin-1")
+                        n, digest = b - a, None
                         if kind == "revisit":
-                            n, digest = int(fields.get(b"WARC-Payload-Length", b"0")), fields.get(b"WARC-Payload-Digest", b"").decode("latin-1").rpartition(":")[2]
-                        else:
-                            n, digest = b - a, hashlib.sha1(memoryview(content)[a:b]).hexdigest()
-                        rows.append((file, len(content), at, successor, number(fields.get(b"WARC-Record-ID")), kind, number(fields.get(b"WARC-Refers-To")), n, digest, b - a))
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                            n = number_of(fields.get(b"warc-payload-length"))
+                            digest = fields.get(b"warc-payload-digest", b"").decode("latin-1").rpartition(":")[2] or None
+                        elif at == due and successor > 0:
+                            digest = hashlib.sha1(memoryview(content)[a:b]).hexdigest()
+                        if at == due:
+                            due = successor
+                        rows.append((file, len(content), at, successor, page_of(fields.get(b"warc-record-id")), kind, page_of(fields.get(b"warc-refers-to")), n, digest, b - a))
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    def follow(key, group):
+    def follow(batches: pa.Table) -> pa.Table:
         import numpy as np
 
-        return group[reachable(group["offset"].to_numpy(np.int64), group["successor"].to_numpy(np.int64), int(group["size"].iloc[0]))]
+        offsets, successors = (np.asarray(batches.column(c)).astype(np.int64) for c in ("offset", "successor"))
+        return batches.filter(pa.array(reachable(offsets, successors, batches.column("size")[0].as_py()) & (successors > 0)))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(scan, SCHEMA).groupBy("file").applyInPandas(follow, SCHEMA)
+    return files.mapInArrow(scan, SCHEMA).groupBy("file").applyInArrow(follow, SCHEMA)
