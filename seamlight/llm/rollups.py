@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versions import Versions
 from .bytepair import ranked
-from .shared import file_system, materialise, plain_strings, small_batches
+from .shared import file_system, hub_join, materialise, plain_strings, small_batches
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = ["n_docs", "n_tokens", "n_bytes"]
@@ -19,8 +21,9 @@ SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_t
 def count_tokens(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     """One insert (sign 1) per document: doc_id, source, lang, tokenizer_version, n_tokens, n_bytes, text_hash.
 
-    A null text counts as empty: no tokens, no bytes. Repeated rows count as often as they come. text_hash tells
-    equal texts (null only for a null text).
+    A null text counts as empty: no tokens, no bytes. Repeated rows count as often as they come; null ids, sources and
+    languages stay null. text_hash tells equal texts (null only for a null text). Other columns are left out, so none can
+    clash; an empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
 
@@ -50,59 +53,70 @@ def revise(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def totals_of(changes: DataFrame) -> DataFrame:
     """Signed sums by key. Partial sums come before the shuffle, so a hot source sends one row per task and key."""
-    sums = [F.sum(F.col("sign").cast("long")).alias("n_docs"), *(F.sum(F.col("sign") * F.col(c)).alias(c) for c in TOTALS[1:])]
+    whole = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    sums = [whole(F.col("sign").cast("long")).alias("n_docs"), *(whole(F.col("sign") * F.col(c)).alias(c) for c in TOTALS[1:])]
     return changes.groupBy(*KEYS).agg(*sums)
 
 
 class Rollup:
     """Totals by source, language and tokenizer version below one path.
 
-    Version v is the folder v=v, written aside and renamed, with the totals and the ids of all batches they hold. A
-    batch id that is already in is skipped, so a batch that is sent again after a lost driver or executor changes
-    nothing; of two writers of a version, the rename lets one through and the other raises. Readers see whole versions.
+    A version's folder holds the totals. A batch leaves a note of the version that it is about to become before that
+    version is committed in one atomic step (`Versions`); it is in if that version is the folder it wrote. So a batch that
+    is sent again after a lost driver or executor changes nothing, looking it up reads its own notes only, however many
+    batches there were, and of two writers of a version one gets `Conflict` and sends its batch again. Readers see whole
+    versions.
+
+    Null sources, languages and versions are keys like others; a null count or sign counts as 0; other columns of the
+    changes are left out, and an empty batch is remembered and changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
 
     def version(self) -> int:
-        fs, to_path = file_system(self.spark, self.path)
-        if not fs.exists(to_path(self.path)):
-            return 0
-        found = [s.getPath().getName() for s in fs.listStatus(to_path(self.path))]
-        return max([0, *(int(n[2:]) for n in found if n.startswith("v="))])
+        return self.versions.latest()
 
     def totals(self) -> DataFrame:
         v = self.version()
-        if not v:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v={v}/totals")
+        return self.spark.read.schema(SCHEMA).parquet(self.versions.folder(v)) if v else self.spark.createDataFrame([], SCHEMA)
 
-    def batches(self) -> set[str]:
-        v = self.version()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/v={v}/batches").collect()} if v else set()
+    def _notes(self, batch: str) -> str:
+        return f"{self.path}/batches/{hashlib.sha256(batch.encode()).hexdigest()}"
+
+    def has(self, batch: str) -> bool:
+        """Whether a batch is in: one of its notes, named version-folder, is what that version became."""
+        fs, to_path = file_system(self.spark, self.path)
+        at = to_path(self._notes(batch))
+        for note in fs.listStatus(at) if fs.exists(at) else []:
+            v, _, folder = note.getPath().getName().partition("-")
+            if (self.versions.folder(int(v)) or "").endswith(f"/{folder}"):
+                return True
+        return False
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed changes; False if its id is in already. Keys whose documents are all gone leave the totals."""
-        done, v = self.batches(), self.version()
-        if batch in done:
+        v = self.version()
+        if self.has(batch):
             return False
         sums = totals_of(changes).select(*KEYS, *TOTALS)
         merged = self.totals().unionByName(sums).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in TOTALS)).filter(" or ".join(f"{c} <> 0" for c in TOTALS))
-        aside = f"{self.path}/_aside-{batch}-{v + 1}"
-        merged.coalesce(1).write.mode("overwrite").parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted({*done, batch})], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{aside}/batches")
+        folder = self.versions.new_folder("totals")
+        merged.coalesce(1).write.parquet(folder)  # as many rows as there are keys
         fs, to_path = file_system(self.spark, self.path)
-        if fs.exists(to_path(f"{self.path}/v={v + 1}")) or not fs.rename(to_path(aside), to_path(f"{self.path}/v={v + 1}")):
-            raise RuntimeError(f"version {v + 1} was committed by another writer; read the totals again and retry")
+        fs.mkdirs(to_path(f"{self._notes(batch)}/{v + 1}-{folder.rpartition('/')[2]}"))
+        self.versions.publish(folder, v + 1)
         return True
 
 
 def copies_of(counts: DataFrame) -> DataFrame:
     """Counts of documents whose text a smaller doc_id has too.
 
-    The first of each text is found with partial minima; only texts that come more than once are joined back, and
-    a join on a hot text is split by adaptive execution, as both its sides are plain shuffles.
+    The first of each text is found with partial minima; only texts that come more than once are joined back, and of
+    these a text with very many copies by broadcast (`hub_join`). Rows without id or text are no copies, and of rows
+    with one id none is another's copy.
     """
-    firsts = materialise(counts.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and text_hash is not null").select("text_hash", "first_id"), "firsts")
-    return counts.join(firsts, "text_hash").filter("doc_id > first_id").select(*counts.columns)
+    kept = counts.columns
+    rows = materialise(counts.filter("text_hash is not null and doc_id is not null"), "rows") if getattr(counts, "_scratch_path", None) is None else counts
+    firsts = materialise(rows.groupBy("text_hash").agg(F.min("doc_id").alias("_first_id"), F.count("*").alias("_copies")).filter("_copies > 1 and text_hash is not null"), "firsts")
+    return hub_join(rows, firsts, "text_hash", "_copies").filter("doc_id > _first_id").select(*kept)
