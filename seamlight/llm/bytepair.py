@@ -78,11 +78,11 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return body + _field(2, trainer) + _field(3, normalizer)
 
 
-def piece_coder(ranks: dict[bytes, int]) -> Callable[[list[bytes]], list[bytes]]:
+def piece_coder(ranks: dict[bytes, int], model=None) -> Callable[[list[bytes]], list[bytes]]:
     """Ids of pre-tokens by the sentencepiece model; a whole pre-token in the vocabulary is one id."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
+    model = model or sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
     alphabet = dict(enumerate(byte_alphabet()))
 
     def encode(raws: list[bytes]) -> list[bytes]:
@@ -268,16 +268,38 @@ _CODECS: dict[str, tuple[TextEncoder, list[bytes]]] = {}
 
 
 def codec(vocabulary: str) -> tuple[TextEncoder, list[bytes]]:
-    """(encoder by the sentencepiece model, bytes of each id), made once in a worker process."""
+    """(encoder by the sentencepiece model, bytes of each id), made once in a worker process.
+
+    An id's bytes are its piece in the model, each character mapped back to the byte that it stands for.
+    """
     if vocabulary not in _CODECS:
+        import sentencepiece
+
         ranks = load_ranks(tokenizer_path(vocabulary))
-        tokens = [b""] * len(ranks)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        _CODECS[vocabulary] = TextEncoder(piece_coder(ranks)), tokens
+        model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
+        back = {c: b for b, c in enumerate(byte_alphabet())}
+        tokens = [bytes(map(back.__getitem__, model.id_to_piece(i))) for i in range(len(ranks))]
+        _CODECS[vocabulary] = TextEncoder(piece_coder(ranks, model)), tokens
     return _CODECS[vocabulary]
 
 
+#: A text in which so many bytes in a row may be one pre-token is encoded in stretches: the library's regular expression
+#: stops on very long runs of blanks, and its merging takes time by the square of a pre-token.
+LONG_RUN = 1 << 14
+
+
+def has_long_run(raw: bytes) -> bool:
+    """Whether a pre-token of LONG_RUN bytes can be in a text: blanks in a row, or others, bytes beyond ASCII being either."""
+    import numpy as np
+
+    if len(raw) < LONG_RUN:
+        return False
+    x = np.frombuffer(raw, np.uint8)
+    blank, wide = (x <= 32) & ((x == 32) | ((x >= 9) & (x <= 13)) | (x >= 28)), x >= 128
+    longest = lambda ends: int(np.diff(np.flatnonzero(np.concatenate([[True], ends, [True]]))).max())
+    return max(longest(blank), longest(~(blank | wide))) > LONG_RUN
+
+
 class RankEncoder(TextEncoder):
     """Merging by rank of whole texts, and added tokens wherever they stand in a text."""
 
@@ -285,13 +307,29 @@ class RankEncoder(TextEncoder):
         import tiktoken
 
         self.coding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
-        self.allowed = {*(added or {})}
+        self.ranks, self.added, self.allowed = ranks, added or {}, {*(added or {})}
+        self.slow: TextEncoder | None = None
+
+    def _stretches(self, text: str) -> bytes:
+        """Id bytes of a text with long runs, by the stretches of `TextEncoder`."""
+        if self.slow is None:
+            self.slow = TextEncoder(piece_coder(self.ranks))
+        if not self.added:
+            return self.slow.one(text)
+        parts = re.split("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", text)
+        return b"".join(_pack([self.added[p]]) if i % 2 else self.slow.one(p) for i, p in enumerate(parts) if p)
 
     def batch(self, texts: pa.Array):
         import numpy as np
 
         encode, allowed = self.coding._core_bpe.encode_to_tiktoken_buffer, self.allowed
-        found = [np.frombuffer(encode(x, allowed), "<u4") if x else np.zeros(0, "<u4") for x in texts.to_pylist()]
+        found = []
+        for x in texts.to_pylist():
+            if not x:
+                found.append(np.zeros(0, "<u4"))
+            else:
+                long = len(x) * 4 >= LONG_RUN and has_long_run(x.encode())
+                found.append(np.frombuffer(self._stretches(x) if long else encode(x, allowed), "<u4"))
         return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
 
 
