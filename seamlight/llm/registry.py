@@ -48,8 +48,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.filter("id % 50 = 0"))
+    return topk.top_k(topk.numbered(topk.quantised(table(spark, sf_dir, "embeddings"))), "id % 50 = 0")
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +93,10 @@ SQL = {
     "op4_sharding": """
         SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS text_bytes, md5(text) AS text_md5 FROM documents""",
     "op7_exact_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.own <> q.own),
+        r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }

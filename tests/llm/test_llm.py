@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,8 +12,9 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
-from seamlight.llm import bytepair, minhash, packing, quality_model, quality_rules, registry, rollups, sharding, topk, toxicity, warc
-from seamlight.llm.shared import scratch, table
+from seamlight.llm import bytepair, minhash, packing, quality_model, quality_rules, registry, rollups, sharding, shared, topk, toxicity, warc
+from seamlight.llm.shared import file_system, scratch, table
+from seamlight.sources.versions import Conflict
 
 CLASHES = ("id", "key", "label", "rep", "h", "n", "score", "bucket", "piece", "length", "text_hash", "_text", "_row", "_words", "value", "digest", "bytes", "refers")
 
@@ -184,6 +186,41 @@ def test_op3_magic_in_payloads(spark):
     assert warc.read_warc(spark, path + "-none").count() == 0
 
 
+def record(page, body, more=b""):
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\n" % page + more
+    return head + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+HOSTILE = [
+    "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:x>\r\nContent-Length: 1\r\n\r\na\r\n\r\n",
+    "\r\n\r\nWARC/1.0\r\nWARC-Record-ID: <urn:page:99999999999999999999999>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    "\r\n\r\nWARC/1.0\r\nWARC-Type: revisit\r\nWARC-Payload-Length: many\r\nWARC-Refers-To: <urn:page:>\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+    "\r\n\r\nWARC/1.0\r\nContent-Length: " + "9" * 5000 + "\r\n\r\nx\r\n\r\n",
+    "\r\n\r\nWARC/1.0\r\nContent-Length: -4\r\n\r\nx", "\r\n\r\nWARC/1.0\r\nContent-Length:\r\n\r\n", "\r\n\r\nWARC/1.0\r\n: \r\n\u00ff:\r\n\r\n", "\r\n\r\nWARC/1.0\r\n", "WARC/1.0\r\n" * 40_000,
+    "\r\n\r\nWARC/1.0\r\n" * 40_000, "".join(f"\r\n\r\nWARC/1.0\r\nContent-Length: {1_000_000 - 50 * i}\r\n\r\n" for i in range(20_000)),
+]
+
+
+def test_op3_hostile_payloads(spark):
+    """Every field malformed, magics without end, nested look-alikes that claim the rest of the page: pages come back whole, soon."""
+    pages = spark.createDataFrame([(i, f"u{i}/WARC/1.0", h) for i, h in enumerate(HOSTILE)], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_warc(pages, path)
+    began = time.monotonic()
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read_warc(spark, path).collect()}
+    assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), "response") for i, h in enumerate(HOSTILE)}
+    assert time.monotonic() - began < 30
+
+
+def test_op3_foreign_archives(spark, tmp_path):
+    """Archives of other hands: what no chain of sound lengths reaches from the start falls out."""
+    sound = record(1, b"a" * 10) + record(-5, b"") + record(2**62, b"\x00\xff", b"Content-Type: x\r\nnonsense\r\n")
+    broken = record(3, b"b") + b"WARC/1.0\r\nContent-Length: 999\r\n\r\nshort\r\n\r\n" + record(4, b"c")
+    for i, raw in enumerate((sound, broken, b"", b"noise" + record(6, b"d"), b"WARC/1.0\r\n")):
+        (tmp_path / f"part-{i}").write_bytes(raw)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()) == [(-5, 0), (1, 10), (3, 1), (2**62, 2)]
+
+
 def test_op4(spark, sf):
     same(registry.op4_sharding(spark, sf), registry.SQL["op4_sharding"], sf)
 
@@ -194,14 +231,46 @@ def test_op4_compaction(spark, awkward, empty):
         store.append(awkward.coalesce(1))
     before = store.manifest().count()
     store.compact(awkward.schema, 64 << 20)
-    assert store.manifest().count() < before
+    assert store.manifest().count() < before and store.shards(awkward.schema).count() < 9
     assert store.read(awkward.schema).count() == 9 * awkward.count() and store.read(awkward.schema, 1).count() == awkward.count()
+    runs = store.manifest().count()
     store.append(empty)
+    assert store.manifest().count() == runs
     stale = store.version() - 1
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         store._commit(store.manifest(), stale)
+    unlisted = store._write(awkward.coalesce(1)).first()["run"]  # a writer at work
     store.vacuum()
     assert store.read(awkward.schema).count() == 9 * awkward.count()
+    fs, to_path = file_system(spark, store.path)
+    left = {s.getPath().getName() for s in fs.listStatus(to_path(f"{store.path}/data"))}
+    assert left == {r["run"] for r in store.manifest().collect()} | {unlisted} or len(left) == store.manifest().count() + 2  # the empty arrival's folder too
+    assert sharding.ShardStore(spark, scratch(spark, "shards")).read(awkward.schema).count() == 0
+
+
+def test_op4_every_tier_is_merged(spark):
+    """A tier that a merge cannot make smaller does not keep the others from theirs."""
+    store = sharding.ShardStore(spark, scratch(spark, "shards"))
+    for n, times in ((10, 4), (20_000, 4), (200_000, 4)):
+        for _ in range(times):
+            store.append(spark.range(n).coalesce(1))
+    rows = store.read(spark.range(1).schema).count()
+    store.compact(spark.range(1).schema, 1 << 20)
+    mean = [r["bytes"] / r["shards"] for r in store.manifest().collect()]
+    tiers = Counter(int(np.log(m) / np.log(4)) for m in mean if m < 1 << 19)
+    assert max(tiers.values(), default=0) < 4 and store.read(spark.range(1).schema).count() == rows
+
+
+def test_op4_two_writers(spark):
+    """Both have read the manifest when they commit: one is told, nothing of the other is lost."""
+    store = sharding.ShardStore(spark, scratch(spark, "shards"))
+    lists = [store._write(spark.range(k)) for k in (5, 10)]
+    store._commit(lists[0], 0)
+    with pytest.raises(Conflict):
+        store._commit(lists[1], 0)
+    assert store.read(spark.range(1).schema).count() == 5
+    store._commit(store.manifest().unionByName(lists[1]), store.version())
+    assert store.read(spark.range(1).schema).count() == 15
 
 
 def base_counts(text):
@@ -271,23 +340,59 @@ def test_op7(spark, sf):
 
 
 def test_op7_awkward(spark):
+    """Nulls and non-finite components take no part; of repeated ids each row is a query and a candidate of the others."""
     rows = [(0, [1.0, 0.5]), (50, [1.0, 0.5]), (51, [1.0, 0.5]), (52, None), (53, [None, 1.0]), (54, [float("nan"), 1.0]), (55, [float("inf"), 1.0]), (None, [1.0, 1.0]), (56, [-0.001, 2.0])]
-    v = topk.quantised(clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
-    got = [tuple(r) for r in topk.top_k(v, v.filter("id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    v = topk.numbered(topk.quantised(clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))))
+    got = [tuple(r) for r in topk.top_k(v, "id % 50 = 0").orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 50, 81920), (0, 2, 51, 81920), (0, 3, 56, 65280), (50, 1, 0, 81920), (50, 2, 51, 81920), (50, 3, 56, 65280)]
-    assert topk.top_k(v.limit(0), v).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+    assert topk.top_k(topk.numbered(v.limit(0)), "id = 0").count() == 0 and topk.top_k(v, "id = -1").count() == 0
+
 
+def test_op7_repeated_ids(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), rng.standard_normal(6).tolist()) for i in rng.integers(0, 40, 300)] + [(0, [1.0] * 6)] * 5
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(registry.op7_exact_top_k(spark, str(tmp_path)), registry.SQL["op7_exact_top_k"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'"), "/root/testdata/sf0.001")
+    monkeypatch.setattr(topk, "ROUND_QUERIES", 5)  # more rounds than one
+    same(registry.op7_exact_top_k(spark, str(tmp_path)), registry.SQL["op7_exact_top_k"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'"), "/root/testdata/sf0.001")
+
+
+def brute_top(v, q, own, k):
+    s = v @ q.T
+    out = []
+    for j in range(len(q)):
+        order = [i for i in np.lexsort((np.arange(len(v)), -s[:, j])) if i != own[j]][:k]
+        out.append((order, s[order, j].tolist()))
+    return out
 
-def test_op7_scan_is_exact():
+
+@pytest.mark.parametrize("high", [50, 10**6, 10**8])
+def test_op7_scan_is_exact(high):
+    """In floats of both sizes and in integers, over several blocks, with ties."""
     rng = np.random.default_rng(1)
-    v, q = rng.integers(-50, 50, (500, 12)), rng.integers(-50, 50, (9, 12))
-    best = topk.Best(np.arange(1000, 1009), q, 5)
+    v, q = rng.integers(-high, high, (500, 12)), rng.integers(-high, high, (9, 12))
+    v[100:120], q[0] = v[0], v[0]
+    best = topk.Best(np.array([0, *range(1000, 1008)]), q, 5)
     for a in range(0, 500, 125):
-        best.add(np.arange(a, a + 125), v[a : a + 125])
-    s = v @ q.T
-    for j in range(9):
-        order = np.lexsort((np.arange(500), -s[:, j]))[:5]
-        assert best.rows[j].tolist() == order.tolist()
+        best.add(np.arange(a, a + 125), np.arange(a, a + 125), v[a : a + 125])
+    for j, (order, scores) in enumerate(brute_top(v, q, best.own, 5)):
+        assert best.ids[j].tolist() == order and best.scores[j].tolist() == scores
+
+
+def test_op7_reads_stop_early():
+    """Where a few rows stand out, the sorted lists are left soon, and a block that cannot qualify is left at its heads."""
+    rng = np.random.default_rng(4)
+    v, q = rng.integers(0, 20, (4096, 8)), rng.integers(1, 9, (16, 8))
+    v[rng.choice(4096, 10, replace=False)] += 200
+    best = topk.Best(np.arange(10_000, 10_016), q, 5)
+    best.add(np.arange(4096), np.arange(4096), v)
+    whole = 16 * v.size
+    assert 0 < best.read < whole / 10
+    for j, (order, scores) in enumerate(brute_top(v, q, best.own, 5)):
+        assert best.ids[j].tolist() == order and best.scores[j].tolist() == scores
+    before = best.read
+    best.add(np.arange(5000, 9096), np.arange(5000, 9096), rng.integers(0, 20, (4096, 8)))
+    assert best.read == before
 
 
 def auc(score, truth):
@@ -374,3 +479,42 @@ def test_op10_batches(spark, awkward, empty):
     rollup.commit("c", rollups.count_tokens(empty, "byte_bpe_50k.json", "1"))
     rollup.commit("d", rollups.retract(counts.filter("doc_id <> 6 or doc_id is null")))
     assert [(r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()] == [(1, 5)]
+
+
+def test_op10_two_writers(spark, monkeypatch):
+    """Both past every look at what is there: one raises, its batch is not taken for committed, and sending it again adds it once."""
+    path = scratch(spark, "rollup")
+    one = spark.createDataFrame([("s", None, "1", 1, 5, 9), (None, "en", "1", 1, None, 2)], "source string, lang string, tokenizer_version string, sign int, n_tokens long, n_bytes long")
+    stale = rollups.Rollup(spark, path)
+    assert rollups.Rollup(spark, path).commit("a", one)
+    monkeypatch.setattr(stale, "version", lambda: 0)
+    with pytest.raises(Conflict):
+        stale.commit("b", one)
+    monkeypatch.undo()
+    assert not stale.has("b") and stale.has("a") and stale.commit("b", one) and not stale.commit("b", one)
+    assert sorted((tuple(r) for r in stale.totals().collect()), key=str) == sorted([("s", None, "1", 2, 10, 18), (None, "en", "1", 2, 0, 4)], key=str)
+
+
+def test_op10_hot_copies(spark, monkeypatch):
+    """A text that holds a third of the rows is joined by broadcast, others by key: the same copies come out."""
+    monkeypatch.setattr(shared, "HUB_ROWS", 20)
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 50}") for i in range(300)] + [(None, "hot"), (7, None), (0, "hot")]
+    counts = spark.createDataFrame(rows, "doc_id long, text_hash string")
+    first = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            first[t] = min(i, first.get(t, i))
+    want = sorted((i, t) for i, t in rows if i is not None and t is not None and i > first[t])
+    assert sorted(map(tuple, rollups.copies_of(counts).collect())) == want
+
+
+def test_long_runs_encode(spark):
+    """Runs of blanks, letters and other signs of any length go through all three encoders, as the libraries have them."""
+    texts = [" " * 60_000 + "x", "a " + "\u3000 \t" * 20_000 + "y", "abcdefghij" * 10_000, "#!" * 30_000 + "<|endoftext|>" + " " * 20_000 + "<|endoftext|>b", "\n" * 70_000, "\u65e5\u672c" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(packing.best_fit_packing(df).collect(), dict(enumerate(pack_ids(texts))))
+    huge = spark.createDataFrame([(1, " " * 5_000_000 + "x"), (2, "b" * 5_000_000), (3, "word" * 250_000)], "doc_id long, text string")
+    pieces = {r["doc_id"]: r["n"] for r in packing.best_fit_packing(huge).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    counted = {r["doc_id"]: r["n_tokens"] for r in rollups.count_tokens(huge.withColumns({"source": F.lit("s"), "lang": F.lit("en")}), "byte_bpe_50k.tiktoken", "1").collect()}
+    coded_too = {r["doc_id"]: r["n_tokens"] for r in bytepair.encode_decode(huge, ids=False).collect()}
+    assert counted == coded_too == {k: v - 1 for k, v in pieces.items()}
