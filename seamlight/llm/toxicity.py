@@ -10,14 +10,18 @@ from .training import SAMPLE, labelled_sample, score_texts
 
 #: Hash buckets and size of the embeddings; filters of each width.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
-EPOCHS, RATE, BATCH = 4, 0.02, 32
+#: Passes, Adagrad's steps for embeddings and for the rest, documents of a batch.
+EPOCHS, WORD_RATE, RATE, BATCH = 5, 0.1, 0.02, 32
+#: Toxic documents of a language in the sample's check part from which on the language has a threshold of its own; the
+#: others take the common one, which is set on all languages together.
+LEAST_TOXIC = 10
 _EDGES = ".,!?;:\"'()[]{}*_-"
 
 
 def word_ids(texts: list[str], known: dict[str, int]):
     """(bucket of each word, begin of each text in them): words between blanks, lower case, without marks at their ends.
 
-    Bucket 0 stands for nothing: two of it end each text, so no window runs over into the next.
+    Bucket 0 stands for nothing: three of it end each text, so that windows of three begin at every word.
     """
     import numpy as np
     import xxhash
@@ -37,79 +41,102 @@ def word_ids(texts: list[str], known: dict[str, int]):
 
 
 class Model:
-    """embedding (BUCKETS x DIM), a filter bank and bias for each width, and the output layer."""
+    """embedding (BUCKETS x DIM), a filter bank and bias for each width, and the output layer, all from random weights.
+
+    A score is the logistic of slope * z + shift2 of the output z; the two are set by `calibrate`.
+    """
 
     def __init__(self, seed: int = 7):
         import numpy as np
 
         rng = np.random.default_rng(seed)
-        self.embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.02).astype("f4")
+        self.embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.002).astype("f4")
         self.embedding[0] = 0
         self.filters = {w: (rng.standard_normal((w, DIM, FILTERS)) * (0.5 / w)).astype("f4") for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, "f4") for w in WIDTHS}
         self.out = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype("f4")
-        self.shift = 0.0
-        self.prior = 0.0
+        self.shift, self.slope, self.shift2 = 0.0, 1.0, 0.0
         self.thresholds: dict[str, float] = {}
 
-    def warm_start(self, ids, begin, labels) -> None:
-        """First dimension: the smoothed log odds of the label among training texts with the bucket; rare ones stay near 0."""
+    def gradients(self, ids, begin, labels) -> dict:
+        """Of the mean log loss of a batch, by weights: a text's gradient reaches only the windows that won the max.
+
+        Keys: filters by width, ("b", width) their biases, "o" and "s" the output layer, "rows" and "e" the embedding rows
+        touched and their gradients.
+        """
         import numpy as np
 
-        end = np.append(begin[1:], ids.size)
-        counts = np.zeros((2, BUCKETS), "f4")
-        for a, b, y in zip(begin, end, labels):
-            counts[y, np.unique(ids[a:b])] += 1
-        n = np.bincount(labels, minlength=2) + 1.0
-        few = 4.0
-        odds = np.log((counts[1] + few * n[1] / n.sum()) / n[1]) - np.log((counts[0] + few * n[0] / n.sum()) / n[0])
-        self.embedding[:, 0] = np.clip(odds, -4, 4)
-        self.embedding[0] = 0
-        for w in WIDTHS:
-            self.filters[w][:, 0, : FILTERS // 2] = 1.0 / w
-        self.out[:] = np.tile(np.r_[np.full(FILTERS // 2, 0.5), np.zeros(FILTERS - FILTERS // 2)], len(WIDTHS))
+        pooled, winners = self._forward(ids, begin, True)
+        p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30)))
+        g = ((p - labels) / len(labels)).astype("f4")
+        back = g[:, None] * self.out[None, :] * (pooled > 0)
+        out, rows, grads = {"o": pooled.T @ g, "s": float(g.sum())}, [], []
+        for k, w in enumerate(WIDTHS):
+            part, win = back[:, k * FILTERS : (k + 1) * FILTERS], winners[k]  # texts x filters
+            d = np.zeros_like(self.filters[w])
+            for j in range(w):
+                seen = ids[np.minimum(win + j, ids.size - 1)]
+                d[j] = np.einsum("tfd,tf->df", self.embedding[seen], part)
+                rows.append(seen.ravel())
+                grads.append((part[:, :, None] * self.filters[w][j].T[None]).reshape(-1, DIM))
+            out[w], out["b", w] = d, part.sum(0)
+        out["rows"], where = np.unique(np.concatenate(rows), return_inverse=True)
+        out["e"] = np.zeros((out["rows"].size, DIM), "f4")
+        np.add.at(out["e"], where, np.concatenate(grads))
+        out["e"][out["rows"] == 0] = 0  # bucket 0 stands for nothing
+        return out
 
     def fit(self, ids, begin, labels, seed: int = 11) -> None:
-        """Adagrad on the log loss; a text's gradient reaches only the windows that won the max."""
+        """Adagrad on the log loss. A pass has as many documents of either class: the smaller class comes more than once."""
         import numpy as np
 
         labels = np.asarray(labels, np.int64)
-        if not labels.size:
+        classes = [np.flatnonzero(labels == v) for v in (0, 1)]
+        if not all(c.size for c in classes):
             return
-        self.warm_start(ids, begin, labels)
+        most = max(c.size for c in classes)
         end, rng = np.append(begin[1:], ids.size), np.random.default_rng(seed)
-        sums = {"e": np.full((BUCKETS, 1), 0.1, "f4"), "o": np.full(self.out.shape, 0.1, "f4"), "s": 0.1, **{w: np.full(self.filters[w].shape, 0.1, "f4") for w in WIDTHS}, **{("b", w): np.full(FILTERS, 0.1, "f4") for w in WIDTHS}}
+        sums: dict = {}
+
+        def step(key, grad, rate):
+            sums[key] = sums.get(key, 1e-3) + grad * grad
+            return rate * grad / np.sqrt(sums[key])
+
+        words = np.full((BUCKETS, 1), 1e-6, "f4")
         for _ in range(EPOCHS):
-            order = rng.permutation(labels.size)
+            order = rng.permutation(np.concatenate([np.resize(rng.permutation(c), most) for c in classes]))
             for start in range(0, order.size, BATCH):
                 picked = order[start : start + BATCH]
                 lengths = end[picked] - begin[picked]
-                at = np.repeat(begin[picked] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
-                own, first = ids[at], np.append(0, np.cumsum(lengths)[:-1])
-                pooled, winners = self._forward(own, first, True)
-                p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30)))
-                g = ((p - labels[picked]) / picked.size).astype("f4")
-                back = g[:, None] * self.out[None, :] * (pooled > 0)
-                step = lambda key, grad: (sums.__setitem__(key, sums[key] + grad * grad), RATE * grad / np.sqrt(sums[key]))[1]
-                rows, grads = [], []
-                for k, w in enumerate(WIDTHS):
-                    part, win = back[:, k * FILTERS : (k + 1) * FILTERS], winners[k]  # texts x filters
-                    d = np.zeros_like(self.filters[w])
-                    for j in range(w):
-                        seen = own[np.minimum(win + j, own.size - 1)]
-                        d[j] = np.einsum("tfd,tf->df", self.embedding[seen], part)
-                        rows.append(seen.ravel())
-                        grads.append((part[:, :, None] * self.filters[w][j].T[None]).reshape(-1, DIM))
-                    self.filters[w] -= step(w, d)
-                    self.bias[w] -= step(("b", w), part.sum(0))
-                self.out -= step("o", pooled.T @ g)
-                self.shift -= float(step("s", float(g.sum())))
-                touched, where = np.unique(np.concatenate(rows), return_inverse=True)
-                total = np.zeros((touched.size, DIM), "f4")
-                np.add.at(total, where, np.concatenate(grads))
-                total[touched == 0] = 0
-                sums["e"][touched] += (total * total).sum(1, keepdims=True)
-                self.embedding[touched] -= RATE * total / np.sqrt(sums["e"][touched])
+                first = np.append(0, np.cumsum(lengths)[:-1])
+                at = np.repeat(begin[picked] - first, lengths) + np.arange(lengths.sum())
+                grad = self.gradients(ids[at], first, labels[picked])
+                for w in WIDTHS:
+                    self.filters[w] -= step(w, grad[w], RATE)
+                    self.bias[w] -= step(("b", w), grad["b", w], RATE)
+                self.out -= step("o", grad["o"], RATE)
+                self.shift -= float(step("s", grad["s"], RATE))
+                rows = grad["rows"]
+                words[rows] += (grad["e"] ** 2).sum(1, keepdims=True)
+                self.embedding[rows] -= WORD_RATE * grad["e"] / np.sqrt(words[rows])
+
+    def calibrate(self, z, labels, weight) -> None:
+        """Slope and shift of outputs of documents that were not fitted, by weighted log loss (Newton's steps, labels drawn in a little)."""
+        import numpy as np
+
+        n = [max(1.0, float((labels == v).sum())) for v in (0, 1)]
+        goal = np.where(labels == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+        x, theta = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            slope = x.T @ (weight * (p - goal)) + np.array([1e-3 * (theta[0] - 1), 0])
+            curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6])
+            move = np.linalg.solve(curve, slope)
+            theta -= np.clip(move, -1, 1)
+            if np.abs(move).max() < 1e-6:
+                break
+        if theta[0] > 0:
+            self.slope, self.shift2 = float(theta[0]), float(theta[1])
 
     def _forward(self, ids, begin, winners: bool = False, tables=None):
         """Pooled activations of each text (begin: its first word), and where each maximum stands."""
@@ -124,13 +151,15 @@ class Model:
                 acted = tables[w, 0][ids] + self.bias[w]
                 for j in range(1, w):
                     acted += tables[w, j][padded[j : j + ids.size]]
+            for j in range(1, w):
+                acted[ends - j] = -np.inf  # such a window would run over into the next text
             pooled.append(np.maximum(np.maximum.reduceat(acted, begin, axis=0), 0))
             if winners:
                 wins.append(np.stack([a + acted[a:b].argmax(0) for a, b in zip(begin, ends)]))
         return np.concatenate(pooled, axis=1), wins
 
-    def scorer(self):
-        """A function of texts; each filter row is multiplied out over the buckets once, so a window costs additions only."""
+    def scorer(self, outputs: bool = False):
+        """A function of texts (outputs: not yet calibrated); each filter row is multiplied out over the buckets once, so a window costs additions only."""
         import numpy as np
 
         tables = {(w, j): self.embedding @ self.filters[w][j] for w in WIDTHS for j in range(w)}
@@ -146,7 +175,8 @@ class Model:
                     stop += 1
                 ids, begin = word_ids(texts[start:stop], known)
                 pooled, _ = self._forward(ids, begin, tables=tables)
-                out[start:stop] = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift + self.prior, -30, 30)))
+                z = pooled @ self.out + self.shift
+                out[start:stop] = z if outputs else 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift2, -30, 30)))
                 start = stop
             return out
 
@@ -154,10 +184,11 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE) -> Model:
-    """A model fitted on a bounded sample; a fifth of it sets the threshold of each language.
+    """A model fitted on a bounded sample; a fifth of it calibrates the scores and sets the threshold of each language.
 
-    The sample has as many documents of either class as there are up to `per_class`; `prior` puts the classes' real
-    shares back. Without labels the model scores every text 0.5.
+    The sample has up to `per_class` documents of either class; in the check part weights put the classes' real shares
+    back. Without labels of both classes the model scores every text 0.5 and calls none toxic. A language with fewer than LEAST_TOXIC toxic
+    documents in the check part takes the common threshold.
     """
     import numpy as np
 
@@ -165,19 +196,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     model = Model()
     if len({r["label"] for r in rows}) < 2:
         model.out[:] = 0
+        model.thresholds = {"": 2.0}
         return model
     fit, check = [r for i, r in enumerate(rows) if i % 5], rows[::5]
-    y = np.array([r["label"] for r in fit])
-    model.fit(*word_ids([r["text"] for r in fit], {}), y)
-    model.prior = float(np.log(counts[1] / counts[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum())))
-    scores, truth = model.scorer()([r["text"] for r in check]), np.array([r["label"] for r in check])
-    # in the check part as in the sample, classes are balanced; weights put their shares back
+    model.fit(*word_ids([r["text"] for r in fit], {}), np.array([r["label"] for r in fit]))
+    truth = np.array([r["label"] for r in check])
     share = np.where(truth == 1, counts[1] / max(1, truth.sum()), counts[0] / max(1, (1 - truth).sum()))
+    share = share / share.sum() * share.size
+    if 0 < truth.sum() < truth.size:
+        model.calibrate(model.scorer(outputs=True)([r["text"] for r in check]), truth, share)
+    scores = model.scorer()([r["text"] for r in check])
     langs = np.array([r["lang"] or "" for r in check], object)
     model.thresholds = {"": best_threshold(scores, truth, share)}
     for lang in sorted({*langs} - {""}):
         own = langs == lang
-        if truth[own].sum() >= 10:
+        if truth[own].sum() >= LEAST_TOXIC:
             model.thresholds[lang] = best_threshold(scores[own], truth[own], share[own])
     return model
 
@@ -199,15 +232,16 @@ def _scorer(model: Model):
     return model.scorer()
 
 
-def flagged(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """All columns of the documents and _score, _threshold (of the language), _toxic; texts pass through, so nothing is joined."""
+def flagged(docs: DataFrame, labels: DataFrame, model: Model | None = None, columns: tuple[str, str, str] = ("_score", "_threshold", "_toxic")) -> DataFrame:
+    """All columns of the documents, and score, threshold (of the language) and verdict under the given names.
+
+    The names must not be among the documents' own (see `unused`). Texts pass through, so nothing is joined.
+    """
     model = model or train(docs, labels)
-    scored = score_texts(docs, _scorer, model, tuple(docs.columns)).withColumnRenamed("score", "_score") if "score" not in docs.columns else None
-    if scored is None:  # a column of that name comes back under its own name
-        kept = flagged(docs.withColumnRenamed("score", "_own_score"), labels, model)
-        return kept.withColumnRenamed("_own_score", "score")
+    score, threshold, toxic = columns
     chosen = F.coalesce(*(F.when(F.col("lang") == k, F.lit(v)) for k, v in model.thresholds.items() if k), F.lit(model.thresholds.get("", 0.5)))
-    return scored.withColumn("_threshold", chosen).withColumn("_toxic", F.col("_score") >= F.col("_threshold"))
+    scored = score_texts(docs, _scorer, model, tuple(docs.columns), score)
+    return scored.withColumn(threshold, chosen).withColumn(toxic, F.col(score) >= F.col(threshold))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -217,12 +251,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     their bias). Repeated and null ids each keep their row; an unknown or null language takes the common threshold;
     other columns are dropped; an empty table gives an empty table.
     """
-    out = flagged(docs.select("doc_id", "text", "lang"), labels, model)
-    return out.select("doc_id", F.col("_score").alias("score"), F.col("_threshold").alias("threshold"), F.col("_toxic").alias("toxic"))
+    return flagged(docs.select("doc_id", "text", "lang"), labels, model, ("score", "threshold", "toxic")).select("doc_id", "score", "threshold", "toxic")
 
 
 def scored_by_fold(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted: the model learns from labels outside the held-out fold only."""
-    known = labels.filter(~held_out("doc_id", mod, rest))
-    scored = score_texts(docs, _scorer, train(docs, known), ("doc_id",))
-    return scored.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted, lang_threshold, lang_predicted: the model learns from labels outside the held-out fold only.
+
+    `predicted` is by the one cut for all, `lang_predicted` by the threshold of the document's language.
+    """
+    scored = toxicity(docs, labels, train(docs, labels.filter(~held_out("doc_id", mod, rest))))
+    return scored.select("doc_id", held_out("doc_id", mod, rest).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), F.col("threshold").alias("lang_threshold"), F.col("toxic").cast("int").alias("lang_predicted"))
