@@ -75,6 +75,20 @@ class Model:
         self.weights = (rng.standard_normal((DIM, 2)) * 0.5).astype("f4")
         self.bias = np.zeros(2, "f4")
 
+    def gradients(self, rows, share, label: int):
+        """Of the log loss of a text whose feature rows have these shares: (text vector's, output weights', biases').
+
+        An embedding row's gradient is its share times the text vector's.
+        """
+        import numpy as np
+
+        v = share @ self.embedding[rows]
+        z = v @ self.weights + self.bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[label] -= 1
+        return self.weights @ p, np.outer(v, p), p
+
     def fit(self, texts: list[str], labels, picked=None, seed: int = 3) -> None:
         """One text a step, Adagrad by row; `picked` are the places of the texts of a pass, by default each once."""
         import numpy as np
@@ -99,13 +113,7 @@ class Model:
                 if not rows.size:
                     continue
                 share = (count / count.sum()).astype("f4")
-                v = share @ self.embedding[rows]
-                z = v @ self.weights + self.bias
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                g = p.copy()
-                g[labels[i]] -= 1
-                dv, dw = self.weights @ g, np.outer(v, g)
+                dv, dw, g = self.gradients(rows, share, labels[i])
                 sw += dw * dw
                 self.weights -= 0.1 * rate * dw / np.sqrt(sw)
                 self.bias -= 0.02 * rate * g
