@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, plain_strings, small_batches
+from .shared import HUB_ROWS, discard, hubs_of, lookup, materialise, plain_strings, salted_join, small_batches
 
 #: Buckets that each document's sketch is put in.
 BANDS = 42
@@ -265,21 +265,30 @@ def near_pairs(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(met: DataFrame, centres: DataFrame, marks: DataFrame) -> DataFrame:
-    """(key, members, centres): members of a bucket in blocks of some BLOCK, each with all centres of this round, and their marks."""
+    """(key, members, centres): members of a bucket in blocks of some BLOCK, each with all centres of this round, and their marks.
+
+    Centres are repeated for each block, so a crowded bucket is as many rows as it has blocks, not one task.
+    """
     marks = marks.withColumnsRenamed({"rep": "_rep", "h": "_h"})
     row = F.struct("rep", "h", "n", "label", "marks", "bands")
     here = lambda df: df.join(marks.hint("merge"), (F.col("rep") == F.col("_rep")) & (F.col("h") == F.col("_h")))
-    few = here(centres.select("key", F.explode("centres").alias("c")).select("key", "c.*")).groupBy("key").agg(F.collect_list(row).alias("centres"))
-    block = F.pmod(F.xxhash64("rep", "h"), F.ceil(F.col("total") / BLOCK)).alias("block")
-    many = here(met.select("key", "rep", "h", "n", "label", block)).groupBy("key", "block").agg(F.collect_list(row).alias("members"))
-    return many.join(few.hint("merge"), "key").select("key", "members", "centres")
+    blocks = F.ceil(F.col("total") / BLOCK)
+    few = here(centres.select("key", "total", F.explode("centres").alias("c")).select("key", "total", "c.rep", "c.h", "c.n", "c.label"))
+    few = few.groupBy("key").agg(F.collect_list(row).alias("centres"), F.max("total").alias("total")).select("key", "centres", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    many = here(met.select("key", "rep", "h", "n", "label", F.pmod(F.xxhash64("rep", "h"), blocks).alias("block"))).groupBy("key", "block").agg(F.collect_list(row).alias("members"))
+    return many.join(few.hint("merge"), ["key", "block"]).select("key", "members", "centres")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of structs (rep, h), those with 100 * intersection >= percent * union on full sets."""
-    one = sets.select(F.struct("rep", "h").alias("a"), F.col("shingles").alias("x"))
-    other = sets.select(F.struct("rep", "h").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(other.hint("merge"), "b").join(one.hint("merge"), "a").withColumn("same", F.size(F.array_intersect("x", "y")))
+    """Of the pairs (a, b) of structs (rep, h), those with 100 * intersection >= percent * union on full sets.
+
+    The set of a star's centre, which very many pairs need, is repeated, and these pairs are dealt over the copies.
+    """
+    both = pairs
+    for end, other, name in (("b", "a", "y"), ("a", "b", "x")):
+        hubs = hubs_of(pairs.groupBy(end).agg(F.count("*").alias("_n")), end, "_n")
+        both = salted_join(both, sets.select(F.struct("rep", "h").alias(end), F.col("shingles").alias(name)), end, [other], hubs, "_n")
+    both = both.withColumn("same", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).filter("a <> b")
 
 
@@ -287,16 +296,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), by alternating large and small stars.
 
     Rounds grow with the logarithm of the longest path; each is a few shuffles of the edges, kept in the shared folder.
+    A star's centre is the end of very many edges: its least neighbour is broadcast to them (`lookup`).
     """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select("v", "m").union(least.select(F.col("u").alias("v"), "m")).filter("v <> m")
-        now = materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = materialise(lookup(both.filter("v > u"), least.drop("n"), "u", hubs_of(least, "u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        below = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = lookup(large, below.drop("n"), "u", hubs_of(below, "u", "n")).select("v", "m").union(below.select(F.col("u").alias("v"), "m")).filter("v <> m")
+        before, now = now, materialise(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(before, least, large, below)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -304,34 +315,47 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _central(entries: DataFrame, slots: int, turn: int) -> DataFrame:
-    """(key, centres): for each bucket with two labels or more, up to `slots` members, those of most bucket mates first."""
+    """(key, centres, total, size): for each bucket with two labels or more, up to `slots` members, those of most bucket mates first."""
     slot = F.pmod(F.xxhash64("rep", "h", F.lit(turn)), F.lit(slots))
-    each = entries.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+    each = entries.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.max("size").alias("size"))
     return _divided(each)
 
 
 def _strangers(entries: DataFrame, slots: int, turn: int) -> DataFrame:
-    """(key, centres): for each bucket with two labels or more, a member of each of up to `slots` labels, of few members first."""
-    each = entries.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"))
+    """(key, centres, total, size): for each bucket with two labels or more, a member of each of up to `slots` labels, of few members first."""
+    each = entries.groupBy("key", "label").agg(F.count("*").alias("members"), F.max(F.struct("mates", "rep", "h", "n", "label")).alias("c"), F.max("size").alias("size"))
     slot = F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(slots))
-    each = each.groupBy("key", slot.alias("slot")).agg(F.min_by("c", F.struct("members", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("members").alias("members"))
+    each = each.groupBy("key", slot.alias("slot")).agg(F.min_by("c", F.struct("members", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("members").alias("members"), F.max("size").alias("size"))
     return _divided(each)
 
 
 def _divided(each: DataFrame) -> DataFrame:
-    return each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("total")).filter("low < high").select("key", "centres", "total")
+    whole = each.groupBy("key").agg(F.collect_list("c").alias("centres"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("total"), F.max("size").alias("size"))
+    return whole.filter("low < high").select("key", "centres", "total", "size")
+
+
+def _met(entries: DataFrame, centres: DataFrame) -> DataFrame:
+    """Entries with the centres of their bucket. `size` is the bucket's first size on both sides: of a crowded bucket the
+    centres are repeated, and its entries are dealt over the copies."""
+    copies = F.ceil(F.col("size") / HUB_ROWS).cast("int")
+    dealt = entries.withColumn("_salt", F.pmod(F.xxhash64("rep", "h"), copies).cast("int"))
+    each = centres.select("key", "centres", "total", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_salt"))
+    return dealt.join(each.hint("merge"), ["key", "_salt"]).drop("_salt")
 
 
 def _spread(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(id, component): labels after two steps over the links; a star's members all come to have its least label."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.union(both.select("a", F.col("a").alias("b")).distinct())
+    both = materialise(both.union(both.select("a", F.col("a").alias("b")).distinct()), "both")
+    ends = materialise(both.groupBy("b").agg(F.count("*").alias("n")), "ends")
+    hubs = hubs_of(ends, "b", "n")
+    own = ends.select("b", F.col("b").alias("l"))
     if labels is not None:
-        both = both.join(labels.select(F.col("id").alias("b"), "component").hint("merge"), "b", "left").withColumn("l", F.coalesce("component", "b"))
-    else:
-        both = both.withColumn("l", F.col("b"))
-    least = both.groupBy("a").agg(F.min("l").alias("m"))
-    return both.select("a", "b").join(least.withColumnRenamed("a", "b").hint("merge"), "b").groupBy("a").agg(F.min("m").alias("component")).withColumnRenamed("a", "id")
+        own = own.join(labels.select(F.col("id").alias("b"), "component").hint("merge"), "b", "left").select("b", F.coalesce("component", "b").alias("l"))
+    least = materialise(lookup(both, own, "b", hubs).groupBy("a").agg(F.min("l").alias("m")), "least")
+    out = materialise(lookup(both, least.withColumnRenamed("a", "b"), "b", hubs).groupBy("a").agg(F.min("m").alias("component")).withColumnRenamed("a", "id"), "labels")
+    discard(both, ends, hubs, least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -356,24 +380,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     """
     rows = rows or bins_per_band(percent, bands)
     signed = materialise(signatures(docs, size, bands, rows, id_column, text_column), "signatures")
-    classes = materialise(signed.filter("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
+    classes = materialise(signed.filter("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     firsts = signed.join(classes.hint("merge"), (signed["set_hash"] == classes["set_hash"]) & (F.col("id") == F.col("rep"))).select("rep", "h", F.col("n_shingles").alias("n"), "bands")
     firsts = materialise(firsts.dropDuplicates(["rep", "h"]), "firsts")
     found = firsts.select(F.explode("bands").alias("key"), "rep", "h", "n")
     # only buckets of two or more go on
-    crowded = materialise(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
-    entries = materialise(found.join(crowded.hint("merge"), "key"), "entries")
-    mates = entries.groupBy("rep", "h").agg(F.sum("c").alias("mates"))
-    entries = materialise(entries.drop("c").join(mates.hint("merge"), ["rep", "h"]), "entries").withColumn("label", F.col("rep"))
-    members = signed.join(classes.hint("merge"), "set_hash", "left").select("id", "n_shingles", "rep")
+    crowded = materialise(found.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    met = materialise(lookup(found, crowded, "key", hubs_of(crowded, "key", "size")), "entries")
+    mates = met.groupBy("rep", "h").agg(F.sum("size").alias("mates"))
+    entries = materialise(met.join(mates.hint("merge"), ["rep", "h"]).withColumn("label", F.col("rep")), "entries")
+    discard(met, crowded)
+    firsts_of = materialise(entries.select("rep").distinct(), "wanted")
     sets = marks = tested = links = labels = None
-    firsts_of = entries
     turn = 0
     while True:
         centres = materialise(_central(entries, CENTRAL[turn], turn) if turn < len(CENTRAL) else _strangers(entries, CENTRES, turn), "centres")
         if centres.isEmpty():
             break
-        met = entries.join(centres.hint("merge"), "key")
+        met = _met(entries, centres)
         if turn < len(CENTRAL):
             # only centres that can be linked with a member are taken out of the array
             apart = lambda c: (c["label"] != F.col("label")) & (100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
@@ -395,15 +419,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             new = materialise(confirm(pairs, sets, percent), "links")
             if fresh := not new.isEmpty():
                 links = new if links is None else links.union(new)
-                labels = materialise(_spread(links, labels), "labels")
+                before, labels = labels, _spread(links, labels)
+                discard(before)
         rest = met.filter(~F.exists("centres", lambda c: (c["rep"] == F.col("rep")) & (c["h"] == F.col("h")))).select(*entries.columns)
         if fresh:
             rest = rest.join(labels.hint("merge"), rest["rep"] == labels["id"], "left").withColumn("label", F.coalesce("component", "label")).select(*entries.columns)
-        entries = materialise(rest, "entries")
+        before, entries = entries, materialise(rest, "entries")
+        discard(before, centres)
         turn += 1
+    discard(firsts, firsts_of, entries, centres, sets, marks)
+    # classes get their component, then all rows of a class, which may be a third of the table, look it up
+    named = classes.select("set_hash", F.col("rep").alias("component"))
     if links is not None:
-        labels = components(links)
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
-    own = members.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    return own.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+        reached = components(links).select(F.col("id").alias("rep"), F.col("component").alias("reached"))
+        named = materialise(classes.join(reached.hint("merge"), "rep", "left").select("set_hash", F.coalesce("reached", "rep").alias("component")), "named")
+    own = F.col("set_hash").isNotNull() & F.col("id").isNotNull()
+    some = lookup(signed.filter(own).select("set_hash", "id", "n_shingles"), named, "set_hash", hubs_of(classes, "set_hash", "copies"))
+    every = some.select("id", "n_shingles", "component").unionByName(signed.filter(~own).select("id", "n_shingles", F.col("id").alias("component")))
+    return every.select(F.col("id").alias(id_column), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

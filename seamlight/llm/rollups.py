@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.versions import Versions
 from .bytepair import ranked
-from .shared import file_system, hub_join, materialise, plain_strings, small_batches
+from .shared import file_system, hubs_of, lookup, materialise, plain_strings, small_batches
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = ["n_docs", "n_tokens", "n_bytes"]
@@ -113,10 +113,10 @@ def copies_of(counts: DataFrame) -> DataFrame:
     """Counts of documents whose text a smaller doc_id has too.
 
     The first of each text is found with partial minima; only texts that come more than once are joined back, and of
-    these a text with very many copies by broadcast (`hub_join`). Rows without id or text are no copies, and of rows
+    these a text with very many copies by broadcast (`lookup`). Rows without id or text are no copies, and of rows
     with one id none is another's copy.
     """
     kept = counts.columns
     rows = materialise(counts.filter("text_hash is not null and doc_id is not null"), "rows") if getattr(counts, "_scratch_path", None) is None else counts
     firsts = materialise(rows.groupBy("text_hash").agg(F.min("doc_id").alias("_first_id"), F.count("*").alias("_copies")).filter("_copies > 1 and text_hash is not null"), "firsts")
-    return hub_join(rows, firsts, "text_hash", "_copies").filter("doc_id > _first_id").select(*kept)
+    return lookup(rows, firsts, "text_hash", hubs_of(firsts, "text_hash", "_copies")).filter("doc_id > _first_id").select(*kept)

@@ -59,18 +59,37 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def hub_join(rows: DataFrame, values: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join with a table of one row a key, whose column `size` says how many of the rows have that key at least.
+def hubs_of(counts: DataFrame, key: str, size: str) -> DataFrame | None:
+    """(key, size) of the keys that more than `limit` rows have, written; None where there are none.
 
-    Keys of more than `limit` rows are broadcast: as they have more than `limit` rows each, there are fewer of them than
-    all rows over `limit`, which is BROADCAST_ROWS at most. The others are dealt by key, so no task gets more than
-    `limit` rows of one key. `rows` and `values` are read twice and should be written tables. `size` is left out.
+    `counts` says how many rows each key has. As hubs have more than `limit` rows each, there are fewer of them than all
+    rows over `limit`, which is BROADCAST_ROWS at most: they may be broadcast however large the table is.
     """
-    total = values.agg(F.sum(size)).first()[0] or 0
-    limit = max(HUB_ROWS, -(-total // BROADCAST_ROWS))
-    hubs, rest = values.filter(F.col(size) > limit).drop(size), values.filter(F.col(size) <= limit).drop(size)
-    if hubs.isEmpty():
-        return rows.join(rest.hint("merge"), key)
-    few = F.broadcast(hubs)
-    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest.hint("merge"), key)
-    return rows.join(few, key).unionByName(others)
+    total, most = counts.agg(F.sum(size), F.max(size)).first()
+    limit = max(HUB_ROWS, -(-(total or 0) // BROADCAST_ROWS))
+    return materialise(counts.filter(F.col(size) > limit).select(key, size), "hubs") if (most or 0) > limit else None
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, hubs: DataFrame | None) -> DataFrame:
+    """Inner join with a table of one row a key. Values of hub keys, which are few and must be small, are broadcast.
+
+    The others are dealt by key, so no task gets many rows of one key. Both tables are read twice where there are hubs.
+    """
+    if hubs is None:
+        return rows.join(values.hint("merge"), key)
+    names = F.broadcast(hubs.select(key))
+    few = values.join(names, key, "left_semi")
+    rest = rows.join(names, key, "left_anti").join(values.join(names, key, "left_anti").hint("merge"), key)
+    return rows.join(F.broadcast(few), key).unionByName(rest)
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, deal_by: list[str], hubs: DataFrame | None, size: str) -> DataFrame:
+    """Inner join with a table of one row a key, whose rows may be large: a hub's row is repeated, once for so many rows
+    of its key, and these are dealt over the copies by `deal_by`."""
+    if hubs is None:
+        return rows.join(values.hint("merge"), key)
+    copies = F.broadcast(hubs.select(key, F.ceil(F.col(size) / HUB_ROWS).cast("int").alias("_copies")))
+    n = F.coalesce(F.col("_copies"), F.lit(1))
+    dealt = rows.join(copies, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*deal_by), n).cast("int")).drop("_copies")
+    each = values.join(copies, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_copies")
+    return dealt.join(each.hint("merge"), [key, "_salt"]).drop("_salt")
