@@ -12,11 +12,11 @@ import pytest
 from compare import same
 from pyspark.sql import functions as F
 
-from seamlight.llm import bytepair, minhash, packing, quality_model, quality_rules, registry, rollups, sharding, shared, topk, toxicity, warc
+from seamlight.llm import bytepair, minhash, packing, quality_model, quality_rules, registry, rollups, sharding, shared, topk, toxicity, training, warc
 from seamlight.llm.shared import file_system, scratch, table
 from seamlight.sources.versions import Conflict
 
-CLASHES = ("id", "key", "label", "rep", "h", "n", "score", "bucket", "piece", "length", "text_hash", "_text", "_row", "_words", "value", "digest", "bytes", "refers")
+CLASHES = ("_score", "_toxic", "_threshold", "_kept_id", "_place", "_salt", "_ratios", "_grams", "_copies", "_id", "_label", "row", "place", "id", "key", "label", "rep", "h", "n", "score", "bucket", "piece", "length", "text_hash", "_text", "_row", "_words", "value", "digest", "bytes", "refers")
 
 
 def clashing(df):
@@ -89,6 +89,38 @@ def test_op1_families(spark):
     assert got == linked(rows, 3, 85)
 
 
+@pytest.mark.parametrize("most", [3, 1000])
+def test_op1_recall_with_hubs(spark, monkeypatch, most):
+    """A hot group of exact copies, a star of near copies of one text, and chains at the threshold: with hubs from `most` rows on, all links of the brute force hold."""
+    monkeypatch.setattr(shared, "HUB_ROWS", most)
+    monkeypatch.setattr(minhash, "HUB_ROWS", most)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = {i: " ".join(base) for i in range(40, 70)}
+    for i in range(40):
+        words = list(base)
+        words[i * 3] = f"x{i}"
+        rows[i] = " ".join(words)
+    for family in range(6):
+        words = [f"f{family}_{i}" for i in range(150)]
+        for step in range(6):
+            words[int(rng.integers(0, 150))] = f"s{step}"
+            rows[100 + 10 * family + step] = " ".join(words)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == linked(rows, 3, 85)
+
+
+def test_components(spark, monkeypatch):
+    """A star whose centre has the largest id, one whose centre has the smallest, and a path, with hubs and without."""
+    edges = [(1000, i) for i in range(10, 60)] + [(2, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (4, 1000):
+        monkeypatch.setattr(shared, "HUB_ROWS", most)
+        got = dict(map(tuple, minhash.components(df).collect()))
+        assert got == {1000: 10, **{i: 10 for i in range(11, 60)}, **{i: 2 for i in range(100, 160)}, **{i: 200 for i in range(201, 231)}}
+
+
 def test_op1_awkward(awkward, empty):
     got = [tuple(r) for r in minhash.near_duplicates(awkward, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()]
     assert sorted(got, key=str) == sorted([(1, 10, 1, True), (1, 10, 1, True), (2, 10, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), *[(i, n, c, i == c) for i, (n, c) in linked({r["doc_id"]: r["text"] for r in awkward.filter("doc_id in (6, 7)").collect()}, 3, 85).items()], (None, 10, None, False), (None, 0, None, False), (8, 1, 8, True), (9, 1, 8, False)], key=str)
@@ -421,6 +453,133 @@ def test_classifiers_awkward(spark, sf, docs, awkward, empty, module):
     assert {r["score"] for r in blank.collect()} == {0.5} and blank.filter("doc_id is null and held_out").count() == 2
 
 
+def test_sample_is_bounded(spark):
+    """Repeated ids count once, in text and in label; bytes are bounded; a table's own columns of the same names do no harm."""
+    docs = clashing(spark.createDataFrame([(7, "b" * 10)] * 3000 + [(i, "a" * 100) for i in range(20, 60)] + [(7, "a"), (None, "n"), (8, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (None, 1), (9, None), *((i, i % 2) for i in range(20, 60))], "doc_id long, toxic int")
+    rows, counts = training.labelled_sample(docs, labels, "toxic", per_class=5)
+    assert counts == {0: 21, 1: 21} and len(rows) == 10 and len({r["doc_id"] for r in rows}) == 10
+    rows, _ = training.labelled_sample(docs, labels, "toxic", per_class=100)
+    assert {(r["doc_id"], r["text"], r["label"]) for r in rows if r["doc_id"] < 20} == {(7, "a", 0), (8, "", 1)}
+    few, _ = training.labelled_sample(docs, labels, "toxic", per_class=100, most_bytes=1000)
+    assert 0 < sum(len(r["text"]) for r in few) <= 1000
+
+
+def small_cnn(rng):
+    model = toxicity.Model()
+    for w in toxicity.WIDTHS:
+        model.filters[w] = rng.standard_normal(model.filters[w].shape)
+        model.bias[w] = rng.standard_normal(toxicity.FILTERS) * 0.1
+    model.embedding = rng.standard_normal((toxicity.BUCKETS, toxicity.DIM)) * 0.5
+    model.embedding[0] = 0
+    model.out = rng.standard_normal(model.out.shape)
+    return model
+
+
+def slow_output(model, ids):
+    """The network's output for one text's buckets, in plain loops."""
+    z, k = model.shift, 0
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(ids)):
+                act = model.bias[w][f]
+                for j in range(w):
+                    if i + j < len(ids):  # beyond a text there is nothing
+                        act += sum(model.embedding[ids[i + j]][d] * model.filters[w][j][d][f] for d in range(toxicity.DIM))
+                best = max(best, act)
+            z += best * model.out[k]
+            k += 1
+    return z
+
+
+def test_op8_forward_and_gradients():
+    """The scorer against plain loops, and the gradients against differences of the loss."""
+    model = small_cnn(np.random.default_rng(5))
+    texts = ["a b c d e", "one", "", "x y x y x, y"]
+    ids, begin = toxicity.word_ids(texts, {})
+    ends = [*begin[1:], ids.size]
+    assert np.allclose(model.scorer(outputs=True)(texts), [slow_output(model, ids[a:b]) for a, b in zip(begin, ends)])
+    labels = np.array([1, 0, 1, 0])
+
+    def loss():
+        z = np.array([slow_output(model, ids[a:b]) for a, b in zip(begin, ends)])
+        return np.mean(np.log1p(np.exp(z)) - labels * z)
+
+    grad, step = model.gradients(ids, begin, labels), 1e-5
+    places = [(model.filters[w], grad[w], at) for w in toxicity.WIDTHS for at in ((0, 0, 0), (w - 1, 3, 2))]
+    places += [(model.bias[w], grad["b", w], (1,)) for w in toxicity.WIDTHS] + [(model.out, grad["o"], (4,))]
+    places += [(model.embedding, dict(zip(grad["rows"].tolist(), grad["e"]))[int(i)], (int(i),)) for i in ids[:3]]
+    for weights, own, at in places:
+        for d in [()] if np.ndim(weights[at]) == 0 else [(k,) for k in range(toxicity.DIM)]:
+            was = weights[at + d]
+            weights[at + d] = was + step
+            up = loss()
+            weights[at + d] = was - step
+            down = loss()
+            weights[at + d] = was
+            assert (own[d] if np.ndim(own) == 1 and d else own[at]) == pytest.approx((up - down) / (2 * step), abs=2e-4)
+
+
+def test_op8_thresholds_are_best():
+    """No other cut between two scores has a better weighted F1; languages with few toxic documents take the common one."""
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        s, t, w = np.round(rng.random(n), 1), rng.integers(0, 2, n), rng.random(n)
+
+        def f1(cut):
+            p = s >= cut
+            return 2 * (w * t * p).sum() / max((w * p).sum() + (w * t).sum(), 1e-12)
+
+        cuts = np.unique(s)
+        middle = (cuts[1:] + cuts[:-1]) / 2
+        got = toxicity.best_threshold(s, t, w)
+        if middle.size and got != 0.5:
+            assert f1(got) == pytest.approx(max(map(f1, middle))) or f1(cuts[0]) >= max(map(f1, middle))
+
+
+def test_op8_thresholds_by_language(spark):
+    """The query's verdict is by the threshold of the row's language, an unknown language's by the common one."""
+    model = toxicity.Model()
+    model.thresholds = {"": 0.4, "en": 0.0, "de": 1.1}
+    docs = spark.createDataFrame([(1, "a", "en"), (2, "a", "de"), (3, "a", None), (4, "a", "xx")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["threshold"], r["toxic"]) for r in toxicity.toxicity(docs, docs, model).collect()}
+    assert got[1] == (0.0, True) and got[2] == (1.1, False) and got[3][0] == got[4][0] == 0.4
+
+
+def test_op9_forward_and_gradients():
+    """The scorer against the plain average of a text's feature vectors, and the gradients against differences of the loss."""
+    rng = np.random.default_rng(8)
+    model = quality_model.Model()
+    model.weights, model.bias = rng.standard_normal(model.weights.shape), np.array([0.1, -0.2])
+    model.embedding = model.embedding.astype("f8")
+    for text in ("alpha beta alpha", "x", "", "\u65e5\u672c\u8a9e ab"):
+        words = text.split()
+        flat, bounds = quality_model.word_features(list(dict.fromkeys(words)))
+        at = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        rows = [b for w in words for b in flat[bounds[at[w]] : bounds[at[w] + 1]]]
+        rows += quality_model.pair_features(np.array([flat[bounds[at[w]]] for w in words], np.int64)).tolist() if len(words) > 1 else []
+        v = model.embedding[rows].mean(0) if rows else np.zeros(quality_model.DIM)
+        z = v @ model.weights + model.bias
+        assert model.scorer()([text])[0] == pytest.approx(1 / (1 + np.exp(z[0] - z[1])))
+    rows, share, step = np.array([3, 9, 11]), np.array([0.5, 0.25, 0.25]), 1e-6
+
+    def loss():
+        z = share @ model.embedding[rows] @ model.weights + model.bias
+        return np.log(np.exp(z).sum()) - z[1]
+
+    dv, dw, db = model.gradients(rows, share, 1)
+    for weights, own, at in [(model.weights, dw[2, 1], (2, 1)), (model.bias, db[0], (0,)), (model.embedding, share[1] * dv[4], (9, 4))]:
+        was = weights[at]
+        weights[at] = was + step
+        up = loss()
+        weights[at] = was - step
+        down = loss()
+        weights[at] = was
+        assert own == pytest.approx((up - down) / (2 * step), abs=1e-5)
+
+
 def test_op9_whole_words(monkeypatch):
     """A text without blanks counts to its end, in one window or several, in training and in scoring."""
     head = "".join(chr(0x4E00 + i) for i in range(64))
