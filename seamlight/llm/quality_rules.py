@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import BLANKS, materialise
 
-#: Hash buckets of the two multinomials; the ratio table of so many rows is the only thing that is broadcast.
+#: Hash buckets of the two multinomials. Their ratios are the only thing that every task gets, as one array of so many
+#: numbers, whatever the corpus. Unigrams and bigrams share the buckets; that a bucket stands for many n-grams of a large
+#: corpus is the model, as in published data selection by hashed n-grams with 10,000 buckets.
 BUCKETS = 1 << 16
 #: Orders of word n-grams that are counted.
 ORDERS = (1, 2)
@@ -17,7 +19,7 @@ PRIOR = 4.0
 THRESHOLD = -0.2
 
 _BLANK_CHARS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -26,10 +28,10 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANKS))
 
 
-def window_hashes(words: Column, window: int = 5) -> Column:
-    """64-bit hashes that tell the windows of `window` words apart, in order."""
-    starts = F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(window))))
+def window_hashes(hashes: Column, window: int = 5) -> Column:
+    """64-bit hashes that tell the windows of `window` words apart, in order, from the words' own hashes."""
+    starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(window))))
 
 
 def covered_words(hashes: Column, window: int = 5) -> Column:
@@ -58,15 +60,15 @@ def covered_words(hashes: Column, window: int = 5) -> Column:
 def surface(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The counts of the base rules, and `_words`, for each row (null text: zeros)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    chars = lambda c, drop: F.length(c) - F.length(F.translate(c, drop, ""))
-    lines = F.transform(F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, _BLANK_CHARS, "")) > 0), lambda x: F.xxhash64(x))
-    out = docs.select(F.col(id_column), text.alias("_text")).withColumn("_words", words_of(F.col("_text"))).withColumn("_windows", window_hashes(F.col("_words"))).withColumn("_lines", lines)
+    lines = F.transform(F.filter(F.split(F.col("_text"), "\n"), lambda x: F.btrim(x, F.lit(_BLANK_CHARS)) != ""), lambda x: F.xxhash64(x))
+    out = docs.select(F.col(id_column), text.alias("_text")).withColumn("_words", words_of(F.col("_text"))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("_windows", window_hashes(F.col("_hashes"))).withColumn("_lines", lines)
     return out.select(
         id_column,
         "_words",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", _BLANK_CHARS, "")).cast("long").alias("word_chars"),
-        chars(F.col("_text"), _SYMBOLS).cast("long").alias("n_symbols"),
+        F.aggregate("_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("word_chars"),
+        (F.octet_length("_text") - F.octet_length(F.regexp_replace("_text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(covered_words(F.col("_windows"))).alias("n_repeat_words"),
     )
@@ -108,22 +110,40 @@ def ratio_table(corpus: DataFrame, target_ids: DataFrame, buckets: int = BUCKETS
     return counts.select("bucket", F.log((F.col("target") + PRIOR) / (expected + PRIOR)).alias("llr"))
 
 
+def ratio_array(ratios: DataFrame, buckets: int = BUCKETS) -> Column:
+    """The ratios as one array by bucket, 0 where a bucket has none: a scalar subquery, whose one value each task gets once."""
+    every = ratios.sparkSession.range(buckets).select((F.col("id") - (1 << 15)).cast("short").alias("bucket"))
+    dense = every.join(ratios, "bucket", "left").agg(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("llr", F.lit(0.0)).alias("llr")))).alias("all"))
+    return materialise(dense.select(F.transform("all", lambda x: x["llr"]).alias("ratios")), "ratios").scalar()
+
+
+def mean_ratio(grams: Column, ratios: Column, n_words: Column, orders: tuple[int, ...]) -> Column:
+    """Mean of the n-grams' log ratios, 0 where there are none; how many there are follows from the words."""
+    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(ratios, g.cast("int") + (1 << 15)))
+    count = sum((F.greatest(n_words - (n - 1), F.lit(0)) for n in orders), F.lit(0))
+    return F.when(count > 0, total / count).otherwise(0.0)
+
+
 def quality_rules(docs: DataFrame, target_ids: DataFrame, corpus: DataFrame | None = None, threshold: float = THRESHOLD, orders: tuple[int, ...] = ORDERS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Operator 5: one row per document with the base counts, base_failed, llr (mean log ratio) and kept.
 
     The two multinomials are counted over all of `corpus` (by default the documents themselves) and those of its rows
     whose id is in `target_ids`. Documents without n-grams have llr 0. A null text has no words: base_failed, not kept.
     Repeated rows and repeated or null ids each get their own row; other columns are dropped; an empty table gives an
-    empty table. Every document's n-grams meet the broadcast ratio table in its own task; what is shuffled is one row of
-    sums per document, so neither a hot source nor a long text gathers anywhere.
+    empty table. Scoring looks each n-gram up in one array, row by row: nothing is joined or shuffled, so neither a hot
+    source nor a long text gathers anywhere.
     """
     base = surface(docs, id_column, text_column).withColumn("_grams", grams(F.col("_words"), orders))
-    counted = base if corpus is None else corpus.select(id_column, grams(words_of(F.col(text_column)), orders).alias("_grams"))
-    ratios = ratio_table(counted.select(id_column, "_grams"), target_ids, id_column=id_column)
+    # the words are a column of their own, or each n-gram would split the text anew
+    counted = (docs if corpus is None else corpus).select(F.col(id_column), words_of(F.col(text_column)).alias("_words")).select(id_column, grams(F.col("_words"), orders).alias("_grams"))
+    ratios = ratio_array(ratio_table(counted, target_ids, id_column=id_column))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    each = base.select(F.monotonically_increasing_id().alias("_row"), id_column, *names, "_grams")
-    scored = each.select("_row", id_column, *names, F.explode_outer("_grams").alias("bucket")).join(F.broadcast(ratios), "bucket", "left")
-    rows = scored.groupBy("_row").agg(*(F.first(c).alias(c) for c in (id_column, *names)), F.coalesce(F.avg("llr"), F.lit(0.0)).alias("_llr"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    llr = F.round("_llr", 9)  # sums of doubles differ in the last bits with the order of rows
-    return rows.select(id_column, *names, failed.alias("base_failed"), (~failed & (llr >= threshold)).alias("kept"), llr.alias("llr"))
+    # the subquery is a column first, as it may not stand in a higher-order function; used once, like the n-grams, it is
+    # put back by the optimiser, so that no row carries the array
+    mean = mean_ratio(F.col("_grams"), F.col("_ratios"), F.col("n_words"), orders)
+    # a value that the optimiser may not compute twice keeps a later filter on the verdict above all this: pushed below, it
+    # would split the text again for each n-gram
+    once = F.when(F.monotonically_increasing_id() >= 0, F.round(mean, 9))
+    rows = base.withColumn("_ratios", ratios).select(id_column, *names, once.alias("llr"))
+    return rows.select(id_column, *names, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
