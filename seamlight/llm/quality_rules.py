@@ -117,11 +117,9 @@ def ratio_array(ratios: DataFrame, buckets: int = BUCKETS) -> Column:
     return materialise(dense.select(F.transform("all", lambda x: x["llr"]).alias("ratios")), "ratios").scalar()
 
 
-def mean_ratio(grams: Column, ratios: Column, n_words: Column, orders: tuple[int, ...]) -> Column:
-    """Mean of the n-grams' log ratios, 0 where there are none; how many there are follows from the words."""
-    total = F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(ratios, g.cast("int") + (1 << 15)))
-    count = sum((F.greatest(n_words - (n - 1), F.lit(0)) for n in orders), F.lit(0))
-    return F.when(count > 0, total / count).otherwise(0.0)
+def mean_ratio(grams: Column, ratios: Column, least_one: Column) -> Column:
+    """Mean of the n-grams' log ratios over `least_one`, how many there are, or 1 where there are none."""
+    return F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.get(ratios, g.cast("int") + (1 << 15))) / least_one
 
 
 def quality_rules(docs: DataFrame, target_ids: DataFrame, corpus: DataFrame | None = None, threshold: float = THRESHOLD, orders: tuple[int, ...] = ORDERS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -133,15 +131,16 @@ def quality_rules(docs: DataFrame, target_ids: DataFrame, corpus: DataFrame | No
     empty table. Scoring looks each n-gram up in one array, row by row: nothing is joined or shuffled, so neither a hot
     source nor a long text gathers anywhere.
     """
-    base = surface(docs, id_column, text_column).withColumn("_grams", grams(F.col("_words"), orders))
+    count = sum((F.greatest(F.size("_words") - (n - 1), F.lit(0)) for n in orders), F.lit(0))
+    base = surface(docs, id_column, text_column).withColumns({"_grams": grams(F.col("_words"), orders), "_count": F.greatest(count, F.lit(1))})
     # the words are a column of their own, or each n-gram would split the text anew
     counted = (docs if corpus is None else corpus).select(F.col(id_column), words_of(F.col(text_column)).alias("_words")).select(id_column, grams(F.col("_words"), orders).alias("_grams"))
     ratios = ratio_array(ratio_table(counted, target_ids, id_column=id_column))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    # the subquery is a column first, as it may not stand in a higher-order function; used once, like the n-grams, it is
-    # put back by the optimiser, so that no row carries the array
-    mean = mean_ratio(F.col("_grams"), F.col("_ratios"), F.col("n_words"), orders)
+    # the subquery is a column first, as it may not stand in a higher-order function; as every column below is used once,
+    # the optimiser puts it back, so that no row carries the array
+    mean = mean_ratio(F.col("_grams"), F.col("_ratios"), F.col("_count"))
     # a value that the optimiser may not compute twice keeps a later filter on the verdict above all this: pushed below, it
     # would split the text again for each n-gram
     once = F.when(F.monotonically_increasing_id() >= 0, F.round(mean, 9))
