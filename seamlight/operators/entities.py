@@ -87,9 +87,9 @@ def entities_of(spark: SparkSession, text: str, terms: Iterable[str] = ()) -> Da
 
 
 def capitalised_words(text: Column) -> Column:
-    """A simpler rule, in the JVM alone: distinct capitalised ASCII words of six letters or more, lower case; the first MOST by name."""
+    """A simpler rule, in the JVM alone: all distinct capitalised ASCII words of six letters or more, lower case."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z][a-z]{5,}"), F.lit(0))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, ascii_lower))), 1, MOST)
+    return F.array_distinct(F.transform(found, ascii_lower))
 
 
 def normalize_entity(text: Column) -> Column:
@@ -104,7 +104,8 @@ def shared_entities(chunk_entities: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cooccurrence(chunk_entities: DataFrame) -> DataFrame:
-    """entity, other: all pairs that share a chunk, in both directions. A chunk has MOST entities, so pairs are bounded by it."""
+    """entity, other: all pairs that share a chunk, in both directions. Pairs are bounded by what a chunk of some words holds;
+    whole documents are cut into chunks first."""
     other = chunk_entities.withColumnRenamed("entity", "other")
     return chunk_entities.join(other, "chunk_id").filter("entity <> other").select("entity", "other").distinct()
 

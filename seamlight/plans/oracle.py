@@ -89,7 +89,9 @@ _WINDOWS = """w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text,
     windows AS (SELECT doc_id, (pos // 160)::INTEGER AS chunk_index, array_to_string(words[pos + 1 : pos + 200], ' ') AS text FROM i)"""
 _OBJECTS = "o AS (SELECT event_id AS id, event_type AS type_name, props, event_id AS sync_clock, event_type = 'error' AS is_deleted, user_id FROM events)"
 _EDGES = "edges AS (SELECT 'placed_by' AS relation, o_orderkey AS from_id, o_custkey AS to_id FROM orders UNION ALL SELECT 'contains', l_orderkey, l_partkey FROM lineitem)"
-_SIMPLE = f"""s AS (SELECT doc_id AS chunk_id, unnest(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{5,}}'), lambda w: lower(w))))[1:20]) AS entity FROM documents)"""
+_NAMES = "unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{5,}'), lambda w: lower(w)))) AS entity"
+_SIMPLE = f"{_WINDOWS}, s AS (SELECT doc_id * 1000 + chunk_index AS chunk_id, {_NAMES} FROM windows)"
+_DOCUMENT = f"s AS (SELECT doc_id AS chunk_id, {_NAMES} FROM documents)"
 _PAIRS = "pairs AS (SELECT DISTINCT a.entity, b.entity AS other FROM s a JOIN s b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity)"
 _LOG = "log AS (SELECT user_id AS id, 'd' || (event_id % 3) AS writer, event_id // 2 AS sync_clock, value::VARCHAR AS props, value, event_type = 'error' AS is_deleted FROM events)"
 _REPLICAS = f"{_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY writer, id ORDER BY sync_clock DESC) AS k FROM log), rep AS (SELECT * FROM r WHERE k = 1)"
@@ -112,7 +114,7 @@ SQL = {
         f AS (SELECT vec_id, x, round(1 - list_dot_product(codes, qc) * scale * qs, 6) AS rough FROM c, k ORDER BY rough, vec_id LIMIT 20)
         SELECT vec_id, round(1 - list_dot_product(x, qv), 6) AS distance FROM f, q ORDER BY distance, vec_id LIMIT 10""",
     "knn_difficulty_gap": f"WITH {_BATCH} SELECT query_id, round((max(distance) - min(distance)) / greatest(min(distance), 1e-6), 6) AS gap FROM top GROUP BY query_id",
-    "term_frequencies": f"WITH {_POSTINGS} SELECT chunk_id, term, tf FROM p WHERE tf > 1",
+    "term_frequencies": f"WITH {_POSTINGS} SELECT chunk_id, term, tf FROM p",
     "doc_lengths": f"WITH {_POSTINGS} SELECT DISTINCT chunk_id, length::BIGINT AS length FROM p",
     "bm25_idf": f"WITH {_POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM f, n",
     "bm25_search": f"WITH {_search('SELECT item_id AS query_id, text FROM benchmark', 10)} SELECT * FROM found",
@@ -121,6 +123,14 @@ SQL = {
     "token_estimates": "SELECT doc_id AS chunk_id, floor(strlen(coalesce(text, '')) / 3.5::DOUBLE)::BIGINT AS tokens FROM documents",
     "chunk_words": f"WITH {_WINDOWS} SELECT * FROM windows",
     "chunk_words_min_len": f"WITH {_WINDOWS}, f AS (SELECT *, min(CASE WHEN length(text) < 400 THEN chunk_index END) OVER (PARTITION BY doc_id) AS stop FROM windows) SELECT doc_id, chunk_index, text FROM f WHERE stop IS NULL OR chunk_index < stop",
+    "chunk_chars_budget": """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+        u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        c AS (SELECT doc_id, i, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM u),
+        p AS (SELECT doc_id, list(e ORDER BY i) AS ends FROM c GROUP BY doc_id),
+        b AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS a, greatest(1, len(list_filter(ends, lambda x: x <= 500)))::BIGINT AS z FROM p
+            UNION ALL SELECT doc_id, chunk_index + 1, s, greatest(z + 1, len(list_filter(ends, lambda x: x <= ends[s] + 500)))::BIGINT
+            FROM (SELECT b.*, p.ends, z - greatest(1, (z - a) // 5) AS s FROM b JOIN p USING (doc_id) WHERE z < len(ends)))
+        SELECT doc_id, chunk_index, array_to_string(words[a + 1 : z], ' ') AS text FROM b JOIN w USING (doc_id)""",
     "ingest_new_docs": f"WITH {_WINDOWS} SELECT doc_id, count(*) AS n_chunks FROM windows WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id",
     "hybrid_linear": _hybrid(_LINEAR, 6) + _SHOW,
     "hybrid_rrf": _hybrid(_RRF, 9) + _SHOW,
@@ -139,6 +149,11 @@ SQL = {
         cut AS (SELECT *, (SELECT coalesce(max(k), 0) FROM range(0, size + 1) r(k) WHERE strlen(left(nxt, k)) <= size) AS chars FROM sized),
         done AS (SELECT kept || CASE WHEN truncated THEN CASE WHEN 1500 - used > 10 AND size < strlen(nxt) THEN left(nxt, chars) ELSE '' END || chr(10) || '[Context truncated for length]' ELSE '' END AS context, truncated FROM cut)
         SELECT context, truncated, floor(strlen(context) / 3.5::DOUBLE)::BIGINT AS tokens FROM done""",
+    "context_words_skip": _hybrid(_LINEAR, 6, 8).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+        sized AS (SELECT rank, score, text, len(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS words_ FROM best),
+        walk AS (SELECT 0 AS pos, 0::BIGINT AS used, ''::VARCHAR AS line
+            UNION ALL SELECT pos + 1, CASE WHEN used + words_ <= 1575 THEN used + words_ ELSE used END, CASE WHEN used + words_ <= 1575 THEN printf('[%d] (score: %.3f) ', rank, score) || text ELSE '' END FROM walk JOIN sized ON rank = pos + 1)
+        SELECT trim(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY pos) FILTER (line <> ''), '')) AS context FROM walk""",
     "object_by_property": f"WITH {_OBJECTS} SELECT id, props FROM o WHERE NOT is_deleted AND type_name = 'click' AND props::JSON ->> '$.k' = '7'",
     "object_list_page": f"WITH {_OBJECTS} SELECT id, props FROM o WHERE NOT is_deleted AND type_name = 'click' ORDER BY id LIMIT 50 OFFSET 20",
     "object_counts": f"WITH {_OBJECTS} SELECT type_name, count(*) AS n FROM o WHERE NOT is_deleted GROUP BY type_name",
@@ -152,11 +167,11 @@ SQL = {
     "relation_two_hops": "SELECT r_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "entity_chunks": f"WITH {_SIMPLE} SELECT entity, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM s GROUP BY entity",
     "entity_cooccurrence": f"WITH {_SIMPLE}, {_PAIRS} SELECT * FROM pairs",
-    "entity_related_2hop": f"""WITH {_SIMPLE}, {_PAIRS}, start AS (SELECT DISTINCT entity FROM s WHERE chunk_id % 250 = 0),
+    "entity_related_2hop": f"""WITH {_SIMPLE}, {_PAIRS}, start AS (SELECT DISTINCT entity FROM s WHERE chunk_id % 20 = 0),
         one AS (SELECT DISTINCT other AS entity FROM pairs JOIN start USING (entity) WHERE other NOT IN (SELECT entity FROM start)),
         two AS (SELECT DISTINCT other AS entity FROM pairs JOIN one USING (entity) WHERE other NOT IN (SELECT entity FROM start UNION SELECT entity FROM one))
         SELECT entity, 1::INTEGER AS depth FROM one UNION ALL SELECT entity, 2::INTEGER FROM two""",
-    "kg_expand": f"""WITH {_SIMPLE}, {_PAIRS}, {_search(_ONE, 5).replace(' s AS', ' sc AS').replace('FROM s)', 'FROM sc)')},
+    "kg_expand": f"""WITH {_DOCUMENT}, {_PAIRS}, {_search(_ONE, 5).replace(' s AS', ' sc AS').replace('FROM s)', 'FROM sc)')},
         own AS (SELECT DISTINCT entity FROM s WHERE chunk_id IN (SELECT chunk_id FROM found WHERE rank <= 3)),
         wanted AS (SELECT entity FROM own UNION SELECT other FROM pairs JOIN own USING (entity)),
         m AS (SELECT chunk_id, count(*) AS matches FROM s WHERE entity IN (SELECT entity FROM wanted) AND chunk_id NOT IN (SELECT chunk_id FROM found) GROUP BY chunk_id)

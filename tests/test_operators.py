@@ -283,3 +283,19 @@ def test_versions_publish_once(spark, tmp_path):
     with pytest.raises(Conflict):
         known.publish(folders[1], 1)
     assert known.folder(1) == folders[0] and known.numbers() == [1] and known.folder(2) is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(5, 60))
+def test_chunk_bounds_rule(sizes, most):
+    """Each chunk fits or is as short as it must be, could not be longer, and a fifth of its words comes again."""
+    bounds = text.chunk_bounds(sizes, most)
+    long = lambda a, b: sum(sizes[a:b]) + b - a
+    assert bool(bounds) == bool(sizes) and (not bounds or bounds[0][0] == 0 and bounds[-1][1] == len(sizes))
+    before = 0
+    for i, (a, b) in enumerate(bounds):
+        assert b > before and (long(a, b) <= most or b == before + 1) and (b == len(sizes) or long(a, b + 1) > most)
+        if i:
+            p, q = bounds[i - 1]
+            assert a == q - max(1, (q - p) // 5)
+        before = b
