@@ -72,8 +72,13 @@ def merge_records(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def merge_chunks(local: DataFrame, remote: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Local chunks, and remote ones of unknown ids that no tombstone of their clock or a later one holds back."""
-    fresh = remote.dropDuplicates(["chunk_id"]).join(local.select("chunk_id"), "chunk_id", "left_anti")
+    """Local chunks, and remote ones of unknown ids that no tombstone of their clock or a later one holds back.
+
+    Of several remote rows of an id the greatest by clock, then by all other columns, comes in: replicas agree on it.
+    """
+    rest = ["sync_clock", *(c for c in remote.columns if c not in ("chunk_id", "sync_clock"))]
+    one = remote.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("v")).select("chunk_id", "v.*")
+    fresh = one.join(local.select("chunk_id"), "chunk_id", "left_anti")
     dead = tombstones.groupBy("chunk_id").agg(F.max("clock").alias("dead_at"))
     fresh = fresh.join(dead, "chunk_id", "left").filter("dead_at is null or dead_at < sync_clock").drop("dead_at")
     return local.unionByName(fresh.select(*local.columns))

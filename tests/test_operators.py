@@ -299,3 +299,13 @@ def test_chunk_bounds_rule(sizes, most):
             p, q = bounds[i - 1]
             assert a == q - max(1, (q - p) // 5)
         before = b
+
+
+def test_repeated_remote_chunks_agree(spark):
+    """Whatever the order of rows, replicas take the same of several versions of a chunk."""
+    rows = [(1, t, [0.5], 1, 0, c) for t, c in (("b", 2), ("a", 2), ("z", 1))]
+    none = table(spark, [], "chunk_id long, clock long")
+    chunk = "chunk_id long, text string, embedding array<float>, doc_id long, page_number long, sync_clock long"
+    for turn in (rows, rows[::-1]):
+        got = sync.merge_chunks(table(spark, [], chunk), table(spark, turn, chunk).repartition(3), none).collect()
+        assert [(r["text"], r["sync_clock"]) for r in got] == [("b", 2)]
