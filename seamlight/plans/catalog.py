@@ -430,6 +430,12 @@ def stream_tumbling_events(spark, d):
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def stream_sliding_events(spark, d):
+    """Windows of two days that begin every day."""
+    out = changes.stream_tumbling(_events(spark, d), "2 days", slide="1 day")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def stream_session_events(spark, d):
     out = changes.stream_sessions(_events(spark, d), "12 hours")
     return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
@@ -467,7 +473,7 @@ object_by_property object_list_page object_counts object_latest property_index
 relation_targets relation_sources relation_edges_distinct relation_cascade_delete relation_two_hops
 entities_extracted entity_chunks entity_cooccurrence entity_related_2hop kg_expand entity_remove graph_rrf
 sync_export_since sync_lww_merge sync_idempotent sync_conflict_stats sync_tombstones sync_lamport delta_round_trip
-stream_lww stream_tumbling_events stream_session_events
+stream_lww stream_tumbling_events stream_sliding_events stream_session_events
 wordpiece_encode hash_embed
 """.split()
 

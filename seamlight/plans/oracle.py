@@ -191,6 +191,8 @@ SQL = {
     "delta_round_trip": f"WITH {_REPLICAS} SELECT id, sync_clock, writer, is_deleted FROM rep WHERE writer = 'd0' AND sync_clock > 100",
     "stream_lww": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sync_clock DESC, writer DESC) AS k FROM log) SELECT id AS record_id, sync_clock AS clock, writer AS device, value, is_deleted FROM r WHERE k = 1",
     "stream_tumbling_events": "SELECT (epoch(date_trunc('day', ts)))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_sliding_events": """WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s, event_type, value FROM events)
+        SELECT epoch(s)::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""",
     "stream_session_events": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
         SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 12 HOURS) AS session_end, count(*) AS n FROM s GROUP BY user_id, k""",

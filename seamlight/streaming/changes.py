@@ -51,12 +51,14 @@ def stream_lww(changes: DataFrame) -> DataFrame:
     return latest_per_key(rows, ["record_id"])
 
 
-def stream_tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+def stream_tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None, slide: str | None = None) -> DataFrame:
     """window_start, event_type, n, total of each window, in whatever order files come; state is one row per result row.
 
+    With `slide`, a window begins every so often, and an event counts in each window that it falls in.
+
     With `late`, windows leave the state once the watermark has passed, and rows that come later than that are lost.
     """
-    counted = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counted = (events.withWatermark("ts", late) if late else events).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     rows = run_to_end(counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "total"), "update", "stream-tumbling")
     return latest_per_key(rows, ["window_start", "event_type"])
 

@@ -16,6 +16,7 @@ from seamlight.operators.retrieval import RetrievalSpec, linked_chunks, retrieve
 from seamlight.plans import catalog
 from seamlight.sources.store import Store
 from seamlight.sources.versions import Conflict, Versions
+from seamlight.streaming import changes
 
 SMALL = ["the quick brown fox jumps over the lazy dog", "a fast auburn fox leaps across a sleepy hound", "stock market prices rallied after the announcement", " ".join(["fox"] * 10), "the dog slept"]
 
@@ -309,3 +310,17 @@ def test_repeated_remote_chunks_agree(spark):
     for turn in (rows, rows[::-1]):
         got = sync.merge_chunks(table(spark, [], chunk), table(spark, turn, chunk).repartition(3), none).collect()
         assert [(r["text"], r["sync_clock"]) for r in got] == [("b", 2)]
+
+
+def test_late_events(spark, tmp_path):
+    """With a watermark an event that comes later than allowed is lost; without one it counts."""
+    day = 86_400 * 10**6
+    (tmp_path / "events").mkdir()
+    for i, at in enumerate((10, 12, 1)):  # the watermark of a batch holds back rows from the next but one
+        path = tmp_path / "events" / f"part-{i}.parquet"
+        pq.write_table(pa.table({"ts": pa.array([at * day], pa.timestamp("us", "UTC")), "event_type": ["a"], "value": [1.0]}), path)
+        os.utime(path, (10**9 + i, 10**9 + i))
+    stream = lambda: changes.file_stream(spark, f"file://{tmp_path}/events", 1)
+    starts = lambda df: sorted(r["window_start"].timestamp() // 86_400 for r in df.collect())
+    assert starts(changes.stream_tumbling(stream(), "1 day")) == [1, 10, 12]
+    assert starts(changes.stream_tumbling(stream(), "1 day", late="2 days")) == [10, 12]
