@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 PUNCTUATION = set(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+_MARKS = re.escape("".join(sorted(PUNCTUATION)))
+_WORDS = re.compile(f"[{_MARKS}]|[^ \\t\\n\\r{_MARKS}]+")
 #: Ids of [CLS], [SEP], [PAD], [UNK] where a vocabulary does not name them.
 SPECIAL = {"[CLS]": 101, "[SEP]": 102, "[PAD]": 0, "[UNK]": 100}
 #: Base letter and the Latin-1 code points (upper case, lower case 0x20 above) that fold to it.
@@ -28,10 +32,9 @@ class WordPiece:
         self.vocabulary, self.max_length = vocabulary, max_length
         self.cls, self.sep, self.pad, self.unk = (vocabulary.get(k, v) for k, v in SPECIAL.items())
 
-    def basic(self, text: str) -> list[str]:
-        folded = text.translate(FOLD)
-        spaced = "".join(f" {c} " if c in PUNCTUATION else " " if c in "\t\n\r" else c for c in folded)
-        return [w for w in spaced.split(" ") if w]
+    def basic(self, text: str) -> Iterator[str]:
+        """Folded words and single punctuation marks, one after the other, so that a reader may stop early."""
+        return (m[0].translate(FOLD) for m in _WORDS.finditer(text))
 
     def pieces(self, word: str) -> list[int]:
         if word in self.vocabulary:
@@ -50,7 +53,7 @@ class WordPiece:
 
     def encode(self, text: str | None) -> tuple[list[int], int]:
         """(ids padded to max_length, how many of them count)."""
-        ids = [i for w in self.basic(text or "") for i in self.pieces(w)][: self.max_length - 2]
+        ids = list(islice((i for w in self.basic(text or "") for i in self.pieces(w)), self.max_length - 2))
         real = [self.cls, *ids, self.sep]
         return real + [self.pad] * (self.max_length - len(real)), len(real)
 
