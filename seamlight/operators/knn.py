@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact for one query or many, within a radius, over int8 codes, and approximate by inverted lists or LSH."""
+"""Nearest neighbours: exact for one query or many, within a radius, over int8 codes, and approximate by LSH; inverted lists are in `ann`."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ BLOCK_ROWS = 4096
 
 
 def nearest(vectors: DataFrame, query, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """id, distance of the k vectors nearest to one query vector; ties go to the smaller id."""
+    """id, distance of the k vectors nearest to one query vector; ties go to the smaller id. A vector of another length raises."""
     d = F.round(V.cosine_distance(F.col(vector_column), V.literal(query)), 6)
     return vectors.filter(F.col(vector_column).isNotNull()).select(id_column, d.alias("distance")).orderBy("distance", id_column).limit(k)
 
@@ -96,43 +96,6 @@ def recall(found: DataFrame, truth: DataFrame, id_column: str = "vec_id") -> Dat
     return hit.agg(F.round(F.count("_hit") / F.count("*"), 6).alias("recall"))
 
 
-class InvertedLists:
-    """Vectors dealt to their nearest centroid; a query looks into its `probes` nearest lists.
-
-    Centroids are fitted by k-means on a sample of at most `sample` vectors; every vector is indexed. For unit vectors
-    Euclidean and cosine order agree.
-    """
-
-    def __init__(self, lists: DataFrame, centroids: list):
-        self.lists, self.centroids = lists, centroids
-
-    @classmethod
-    def build(cls, vectors: DataFrame, n_lists: int = 16, sample: int = 200_000, seed: int = 42, id_column: str = "vec_id", vector_column: str = "embedding") -> InvertedLists:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        rows = vectors.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-        fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("features", array_to_vector("vector"))
-        model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(fitted)
-        lists = model.transform(rows.withColumn("features", array_to_vector("vector"))).select("id", "vector", F.col("prediction").alias("list"))
-        return cls(lists, [c.tolist() for c in model.clusterCenters()])
-
-    def search(self, queries: DataFrame, k: int, probes: int = 4, widen_below: float | None = None) -> DataFrame:
-        """query_id, rank, id, distance. With widen_below, queries whose gap is smaller look into twice as many lists."""
-        first = self._search(queries, k, probes)
-        if widen_below is None:
-            return first
-        hard = difficulty_gap(first).filter(F.col("gap") < widen_below).select("query_id")
-        wide = self._search(queries.join(hard, "query_id", "left_semi"), k, 2 * probes)
-        return first.join(hard, "query_id", "left_anti").unionByName(wide)
-
-    def _search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        away = F.array(*(F.struct(F.round(-V.dot(F.col("vector"), V.literal(c)), 9).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(self.centroids)))
-        probed = queries.select("query_id", F.col("vector").alias("q"), F.explode(F.transform(F.slice(F.array_sort(away), 1, probes), lambda s: s["list"])).alias("list"))
-        scored = self.lists.join(probed, "list").select("query_id", "id", F.round(V.cosine_distance(F.col("vector"), F.col("q")), 6).alias("distance"))
-        return ranked(scored, k).select("query_id", "rank", "id", "distance")
-
-
 def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 0.6, tables: int = 8, seed: int = 42, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, id, distance among the vectors that share a random-projection bucket with the query."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
