@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 PUNCTUATION = set(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -19,6 +20,12 @@ _FOLDS = {"a": range(0xC0, 0xC6), "e": range(0xC8, 0xCC), "i": range(0xCC, 0xD0)
 FOLD = {cp + shift: base for base, cps in _FOLDS.items() for cp in cps for shift in (0, 0x20)} | {cp: chr(cp + 32) for cp in range(65, 91)}
 
 
+# Fixed values of the hash embedding: factors of a token's id, of an axis, of a byte's place, and of the mixing step.
+_STEP, _AXIS, _PLACE, _MIX = 2654435761, 40503, 1000003, 0x45D9F3B
+#: Tokens or bytes that are hashed at once.
+_BLOCK = 4096
+
+
 def load_vocabulary(lines) -> dict[str, int]:
     """Token of each line by its number; blank lines keep their number, blanks at the end go, the last of equal tokens counts."""
     tokens = ((i, line.rstrip(" \t\r\n")) for i, line in enumerate(lines))
@@ -26,10 +33,14 @@ def load_vocabulary(lines) -> dict[str, int]:
 
 
 class WordPiece:
-    """Greedy longest-match sub-words of accent-folded lower-case words."""
+    """Greedy longest-match sub-words of accent-folded lower-case words.
+
+    An encoding has max_length ids; with None, as many as the whole text has, without padding.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], max_length: int = 128):
+    def __init__(self, vocabulary: dict[str, int], max_length: int | None = 128):
         self.vocabulary, self.max_length = vocabulary, max_length
+        self.longest = max(map(len, vocabulary), default=0)
         self.cls, self.sep, self.pad, self.unk = (vocabulary.get(k, v) for k, v in SPECIAL.items())
 
     def basic(self, text: str) -> Iterator[str]:
@@ -41,7 +52,7 @@ class WordPiece:
             return [self.vocabulary[word]]
         out, start = [], 0
         while start < len(word):
-            for end in range(len(word), start, -1):
+            for end in range(min(len(word), start + self.longest), start, -1):
                 piece = word[start:end] if start == 0 else "##" + word[start:end]
                 if piece in self.vocabulary:
                     out.append(self.vocabulary[piece])
@@ -53,9 +64,9 @@ class WordPiece:
 
     def encode(self, text: str | None) -> tuple[list[int], int]:
         """(ids padded to max_length, how many of them count)."""
-        ids = list(islice((i for w in self.basic(text or "") for i in self.pieces(w)), self.max_length - 2))
-        real = [self.cls, *ids, self.sep]
-        return real + [self.pad] * (self.max_length - len(real)), len(real)
+        found = (i for w in self.basic(text or "") for i in self.pieces(w))
+        real = [self.cls, *(found if self.max_length is None else islice(found, self.max_length - 2)), self.sep]
+        return real + [self.pad] * ((self.max_length or 0) - len(real)), len(real)
 
     def column(self, text):
         """struct(input_ids, attention_mask, token_type_ids, actual_length) of a text column."""
@@ -63,19 +74,34 @@ class WordPiece:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
                 coded = [self.encode(t) for t in texts]
-                n = self.max_length
-                yield pd.DataFrame({"input_ids": [c[0] for c in coded], "attention_mask": [[1] * c[1] + [0] * (n - c[1]) for c in coded], "token_type_ids": [[0] * n for _ in coded], "actual_length": [c[1] for c in coded]})
+                yield pd.DataFrame({"input_ids": [c[0] for c in coded], "attention_mask": [[1] * n + [0] * (len(ids) - n) for ids, n in coded], "token_type_ids": [[0] * len(c[0]) for c in coded], "actual_length": [c[1] for c in coded]})
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "input_ids array<bigint>, attention_mask array<bigint>, token_type_ids array<bigint>, actual_length int")(text)
 
 
+class UnicodeWordPiece(WordPiece):
+    """The variant of one binding: Unicode lower case, no folding of accents, every mark a word, long words unknown."""
+
+    #: Characters of a word, at most; a longer one is unknown as a whole.
+    MOST_CHARACTERS = 100
+
+    def __init__(self, vocabulary: dict[str, int], max_length: int | None = 512):
+        super().__init__(vocabulary, max_length)
+
+    def basic(self, text: str) -> Iterator[str]:
+        return (m[0] for m in regex.finditer(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]", text.lower()))
+
+    def pieces(self, word: str) -> list[int]:
+        return [self.unk] if len(word) > self.MOST_CHARACTERS else super().pieces(word)
+
+
 class HashEmbedder:
     """Unit vectors from hashes of token ids, or of bytes where there is no vocabulary. An empty text is the first axis."""
 
     is_semantic = False
 
-    def __init__(self, vocabulary: dict[str, int] | None = None, dim: int = 384, max_length: int = 128):
+    def __init__(self, vocabulary: dict[str, int] | None = None, dim: int = 384, max_length: int | None = 128):
         self.tokenizer, self.dim = WordPiece(vocabulary, max_length) if vocabulary else None, dim
 
     def embed(self, text: str | None):
@@ -85,22 +111,28 @@ class HashEmbedder:
         if not text:
             out[0] = 1
             return out
-        d = np.arange(self.dim, dtype=np.uint64) * np.uint64(40503)
         if self.tokenizer:
             ids, n = self.tokenizer.encode(text)
-            codes = np.array([i for i in ids[:n] if i != self.tokenizer.pad], np.uint64)
-            h = codes[:, None] * np.uint64(2654435761) + d[None]
-            twice = True
+            codes = np.array([i for i in ids[:n] if i != self.tokenizer.pad], np.uint64) * np.uint64(_STEP)
         else:
-            raw = np.frombuffer(text.encode(), np.int8).astype(np.int64).view(np.uint64)
-            h, n, twice = raw[:, None] * np.uint64(2654435761) + d[None] + np.arange(raw.size, dtype=np.uint64)[:, None] * np.uint64(1000003), raw.size, False
-        h = (h ^ (h >> np.uint64(16))) * np.uint64(0x45D9F3B)
-        if twice:
-            h = h ^ (h >> np.uint64(16))
-        out = (((h & np.uint64(0xFFFF)).astype("f8") - 32768) / 32768).sum(0) / n
+            codes = np.frombuffer(text.encode(), np.int8).astype(np.int64).view(np.uint64)
+            n, codes = codes.size, codes * np.uint64(_STEP) + np.arange(codes.size, dtype=np.uint64) * np.uint64(_PLACE)
+        for start in range(0, codes.size, _BLOCK):
+            out += self._values(codes[start : start + _BLOCK]).sum(0)
+        out /= n
         length = np.sqrt((out * out).sum())
         return out / length if length > 1e-8 else out
 
+    def _values(self, codes):
+        """A row of numbers in [-1, 1) for each code."""
+        import numpy as np
+
+        h = codes[:, None] + np.arange(self.dim, dtype=np.uint64) * np.uint64(_AXIS)
+        h = (h ^ (h >> np.uint64(16))) * np.uint64(_MIX)
+        if self.tokenizer:
+            h ^= h >> np.uint64(16)
+        return ((h & np.uint64(0xFFFF)).astype("f8") - 32768) / 32768
+
     def column(self, text):
         """array<float> of a text column."""
 
@@ -112,6 +144,54 @@ class HashEmbedder:
         return F.pandas_udf(run, "array<float>")(text)
 
 
+class SeededEmbedder(HashEmbedder):
+    """The variant of one binding: a linear step on the text's 32-bit string hash gives all axes, so one letter changes all."""
+
+    # Factor and addend of the step, factor of the string hash.
+    FACTOR, ADDEND, STRING = 6364136223846793005, 1442695040888963407, 31
+
+    def __init__(self, dim: int = 384):
+        super().__init__(None, dim)
+
+    def embed(self, text: str | None):
+        import numpy as np
+
+        units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32)
+        powers = np.concatenate([np.ones(1, np.uint32), np.cumprod(np.full(max(0, units.size - 1), self.STRING, np.uint32), dtype=np.uint32)])[: units.size]
+        seed = int((units * powers[::-1]).sum(dtype=np.uint32))
+        seed -= (seed >> 31) << 32
+        low = ((seed * self.FACTOR + self.ADDEND) & 0xFFFFF) ^ np.arange(self.dim)
+        out = (low & 0xFFFFF) / 0xFFFFF * 2 - 1
+        length = np.sqrt((out * out).sum())
+        return out / length if length > 1e-9 else out
+
+
+class WordHashEmbedder(HashEmbedder):
+    """The variant of the demonstrations: each word's SHA-256, an axis and the word's place give a number; the mean counts.
+
+    A text without words is the zero vector.
+    """
+
+    def __init__(self, dim: int = 384):
+        super().__init__(None, dim)
+
+    def embed(self, text: str | None):
+        import hashlib
+
+        import numpy as np
+
+        words, out = (text or "").lower().split(), np.zeros(self.dim)
+        ends = {w: int.from_bytes(hashlib.sha256(w.encode()).digest()[-2:], "big") for w in set(words)}
+        axes = (np.arange(self.dim) * _STEP) & 0xFFFF
+        for start in range(0, len(words), _BLOCK):
+            block = words[start : start + _BLOCK]
+            places = (np.arange(start, start + len(block)) * _AXIS) & 0xFFFF
+            mixed = (np.array([ends[w] for w in block]) ^ places)[:, None] ^ axes
+            out += ((mixed - 32768) / 32768).sum(0) / len(words)
+        length = np.sqrt((out * out).sum())
+        return out / length if length > 1e-8 else out
+
+
 class OnnxEmbedder(HashEmbedder):
     """Masked mean of a model's token vectors; a text whose run fails takes the hash embedding. One session a worker."""
 

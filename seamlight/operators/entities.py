@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import importable
 from ..functions.text import ascii_lower
 
 # Words that are never entities.
@@ -24,10 +22,11 @@ who why dr mr mrs ms
 MOST = 20
 #: Capitalised words that one name takes, at most.
 NAME_WORDS = 5
-SCHEMA = "array<struct<text:string,type:string,start:int,end:int,confidence:float>>"
 
 _SENTENCE = re.compile(rb"[^.!?]*[.!?]|[^.!?]+$")
 _TOKEN = re.compile(rb"[0-9A-Za-z'-]+")
+#: The same marks at either end of a name.
+_ENDS = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -62,23 +61,47 @@ def extract(text: str | None, terms: Iterable[str] = ()) -> list[dict]:
     return sorted(kept, key=lambda e: (-e["confidence"], e["text"]))[:MOST]
 
 
-def entity_column(spark: SparkSession, terms: Iterable[str] = ()):
-    """A vectorised UDF of a text column's entities."""
-    importable(spark)
-    terms = tuple(terms)
+def _offers(tokens: Column, terms: Iterable[str]) -> Column:
+    """name, type, confidence, is_name of what a sentence's tokens offer, in the order of `extract`."""
+    known = F.array(*(F.lit(t.lower()) for t in terms)).cast("array<string>")
+    capital = lambda w: F.substring(w, 1, 1).between("A", "Z")
+    offer = lambda name, kind, sure, is_name: F.struct(F.regexp_replace(ascii_lower(name), _ENDS, "").alias("name"), F.lit(kind).alias("type"), sure.alias("confidence"), F.lit(is_name).alias("is_name"))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: extract(t, terms))
+    def of_token(w: Column, i: Column) -> Column:
+        begun = F.struct(w.alias("name"), F.lit(True).alias("open"))
+        longer = lambda r, x: F.struct(F.when(r["open"] & capital(x), F.concat_ws(" ", r["name"], x)).otherwise(r["name"]).alias("name"), (r["open"] & capital(x)).alias("open"))
+        run = F.aggregate(F.slice(tokens, i + 2, NAME_WORDS - 1), begun, longer)["name"]
+        sure = F.when(F.contains(run, F.lit(" ")), 0.90).otherwise(0.75)
+        term = F.when(F.array_contains(known, ascii_lower(w)), offer(w, "TECHNICAL_TERM", F.lit(0.85), False))
+        name = F.when((i > 0) & capital(w) & (F.length(w) > 1), offer(run, "PROPER_NOUN", sure, True))
+        loud = F.when((F.length(w) > 1) & w.rlike("^[A-Z0-9]+$"), offer(w, "PROPER_NOUN", F.lit(0.80), False))
+        return F.array_compact(F.array(term, name, loud))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, SCHEMA)
+    return F.flatten(F.transform(tokens, of_token))
+
+
+def extracted(chunks: DataFrame, terms: Iterable[str] = ()) -> DataFrame:
+    """chunk_id, entity, type, confidence of the entities of `extract` for each chunk, without positions, all in the JVM.
+
+    A sentence's offers are arrays of their row; only offers are shuffled, and met by chunk and name. chunk_id is a key.
+    """
+    terms, sentences = tuple(terms), F.split(F.coalesce("text", F.lit("")), "(?<=[.!?])")
+    if not terms:  # what has neither a later capitalised word nor two capitals or digits offers nothing
+        sentences = F.filter(sentences, lambda x: x.rlike("[0-9A-Za-z'-][^0-9A-Za-z'-]+[A-Z]|[A-Z0-9]{2}"))
+    sentences = F.transform(sentences, lambda x: F.regexp_extract_all(x, F.lit("[0-9A-Za-z'-]+"), F.lit(0)))
+    offers = F.flatten(F.transform(sentences, lambda tokens: _offers(tokens, terms)))
+    each = chunks.select("chunk_id", F.posexplode(offers).alias("pos", "o")).select("chunk_id", "pos", "o.*")
+    each = each.filter((F.length("name") > 1) & ~F.col("name").isin(SKIP_WORDS))
+    met = each.groupBy("chunk_id", F.col("name").alias("entity")).agg(F.min_by(F.struct("type", "confidence"), "pos").alias("first"), F.max(F.when(F.col("is_name"), F.col("confidence"))).alias("name"))
+    better = F.coalesce(F.col("name") > F.col("first.confidence"), F.lit(False))
+    found = met.select("chunk_id", "entity", F.when(better, "PROPER_NOUN").otherwise(F.col("first.type")).alias("type"), F.when(better, F.col("name")).otherwise(F.col("first.confidence")).alias("confidence"))
+    order = Window.partitionBy("chunk_id").orderBy(F.desc("confidence"), "entity")
+    return found.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= MOST).drop("_place")
 
 
 def chunk_entities(chunks: DataFrame, terms: Iterable[str] = ()) -> DataFrame:
     """chunk_id, entity: the entities of each chunk."""
-    found = chunks.select("chunk_id", F.explode(entity_column(chunks.sparkSession, terms)("text")).alias("e"))
-    return found.select("chunk_id", F.col("e.text").alias("entity")).distinct()
+    return extracted(chunks, terms).select("chunk_id", "entity")
 
 
 def entities_of(spark: SparkSession, text: str, terms: Iterable[str] = ()) -> DataFrame:
@@ -86,16 +109,10 @@ def entities_of(spark: SparkSession, text: str, terms: Iterable[str] = ()) -> Da
     return spark.createDataFrame([(e["text"],) for e in extract(text, terms)], "entity string")
 
 
-def capitalised_words(text: Column) -> Column:
-    """A simpler rule, in the JVM alone: all distinct capitalised ASCII words of six letters or more, lower case."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z][a-z]{5,}"), F.lit(0))
-    return F.array_distinct(F.transform(found, ascii_lower))
-
-
 def normalize_entity(text: Column) -> Column:
     """Lower case, without blanks and then marks at either end."""
     inner = F.regexp_replace(ascii_lower(text), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    return F.regexp_replace(inner, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "")
+    return F.regexp_replace(inner, _ENDS, "")
 
 
 def shared_entities(chunk_entities: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -310,48 +310,44 @@ def relation_two_hops(spark, d):
 # --- entity graph ----------------------------------------------------------------------------------------------------
 
 
-def simple_entities(spark, d) -> DataFrame:
+def _entities(spark, d) -> DataFrame:
     """Entities of each document's windows of words; a window's chunk_id is the document's times 1000, plus its place."""
     c = ingest.chunked(table(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    return c.select("chunk_id", F.explode(entities.capitalised_words(F.col("text"))).alias("entity"))
-
-
-def document_entities(spark, d) -> DataFrame:
-    return texts(spark, d).select("chunk_id", F.explode(entities.capitalised_words(F.col("text"))).alias("entity"))
+    return entities.chunk_entities(c)
 
 
 def entities_extracted(spark, d):
-    return texts(spark, d).select("chunk_id", F.explode(entities.entity_column(spark)("text")).alias("e")).select("chunk_id", F.col("e.text").alias("entity"), F.col("e.type").alias("type"), F.round(F.col("e.confidence").cast("double"), 2).alias("confidence"))
+    return entities.extracted(texts(spark, d))
 
 
 def entity_chunks(spark, d):
-    return simple_entities(spark, d).groupBy("entity").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    return _entities(spark, d).groupBy("entity").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 def entity_cooccurrence(spark, d):
-    return entities.cooccurrence(simple_entities(spark, d))
+    return entities.cooccurrence(_entities(spark, d))
 
 
 def entity_related_2hop(spark, d):
-    s = simple_entities(spark, d)
+    s = _entities(spark, d)
     start = s.filter("chunk_id % 20 = 0").select("entity")
     return entities.related(start, entities.cooccurrence(s), 2)
 
 
 def kg_expand(spark, d):
     best = bm25_normalized(spark, d).select("rank", "chunk_id").filter("rank <= 5")
-    return entities.expand(best, document_entities(spark, d))
+    return entities.expand(best, entities.chunk_entities(texts(spark, d)))
 
 
 def entity_remove(spark, d):
-    s = simple_entities(spark, d)
+    s = _entities(spark, d)
     return entities.remove_chunks(s, s.filter("chunk_id % 3 = 0")).groupBy("entity").agg(F.count("*").alias("n_chunks"))
 
 
 def graph_rrf(spark, d):
-    """Reciprocal ranks with the entities of the nearest chunk as the query's."""
+    """Reciprocal ranks with the entities of the 40 nearest chunks as the query's."""
     c = chunks(spark, d)
-    s = c.select("chunk_id", F.explode(entities.capitalised_words(F.col("text"))).alias("entity"))
+    s = entities.chunk_entities(c)
     near = knn.nearest(c, query_vector(spark, d), 200, "chunk_id")
     placed = near.withColumn("cand_pos", F.row_number().over(Window.partitionBy().orderBy("distance", "chunk_id")))
     wanted = s.join(placed.filter("cand_pos <= 40").select("chunk_id"), "chunk_id", "left_semi").select("entity")
@@ -462,15 +458,18 @@ def letter_vocabulary() -> dict[str, int]:
 
 
 def wordpiece_encode(spark, d):
+    """Whole texts: no limit of ids."""
     importable(spark)
-    coded = texts(spark, d).select("chunk_id", WordPiece(letter_vocabulary()).column(F.col("text")).alias("e"))
-    return coded.select("chunk_id", "e.actual_length", F.aggregate("e.input_ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("id_sum"))
+    coded = texts(spark, d).select("chunk_id", WordPiece(letter_vocabulary(), None).column(F.col("text")).alias("e"))
+    return coded.select("chunk_id", F.col("e.actual_length").alias("n_ids"), F.aggregate("e.input_ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("id_sum"))
 
 
 def hash_embed(spark, d):
+    """Whole texts; two components of each unit vector."""
     importable(spark)
-    v = HashEmbedder(letter_vocabulary(), 64).column(F.col("text"))
-    return texts(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.round(V.norm(F.col("v")), 4).alias("norm"))
+    v = HashEmbedder(letter_vocabulary(), 64, None).column(F.col("text"))
+    at = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 3)
+    return texts(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.round(V.norm(F.col("v")), 4).alias("norm"), at(0).alias("first"), at(63).alias("last"))
 
 
 NAMES = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
+from ..operators.entities import SKIP_WORDS
 
 QUERY_TEXT, QUERY_VECTOR, RELATION = "thble thention innd and the delion", 7, "about"
 
@@ -89,15 +90,53 @@ _WINDOWS = """w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text,
     windows AS (SELECT doc_id, (pos // 160)::INTEGER AS chunk_index, array_to_string(words[pos + 1 : pos + 200], ' ') AS text FROM i)"""
 _OBJECTS = "o AS (SELECT event_id AS id, event_type AS type_name, props, event_id AS sync_clock, event_type = 'error' AS is_deleted, user_id FROM events)"
 _EDGES = "edges AS (SELECT 'placed_by' AS relation, o_orderkey AS from_id, o_custkey AS to_id FROM orders UNION ALL SELECT 'contains', l_orderkey, l_partkey FROM lineitem)"
-_NAMES = "unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{5,}'), lambda w: lower(w)))) AS entity"
-_SIMPLE = f"{_WINDOWS}, s AS (SELECT doc_id * 1000 + chunk_index AS chunk_id, {_NAMES} FROM windows)"
-_DOCUMENT = f"s AS (SELECT doc_id AS chunk_id, {_NAMES} FROM documents)"
+
+
+def _names(source: str) -> str:
+    """CTEs that end in `s`: chunk_id, entity, type, confidence of the entities of a table of chunk_id and text."""
+    skip = ", ".join(f"'{w}'" for w in SKIP_WORDS)
+    marks = "'^[!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]+$'"
+    upper = lambda c: f"coalesce(regexp_matches({c}, '^[A-Z]'), false)"
+    following = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, 5))
+    run = "w"
+    for i in range(4, 0, -1):
+        run = f"CASE WHEN {upper(f'w{i}')} THEN ' ' || {'w' + str(i) if run == 'w' else f'w{i} || {run}'} ELSE '' END"
+    return f"""sentences AS (SELECT chunk_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?]*[.!?]|[^.!?]+$')) AS sentence, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?]*[.!?]|[^.!?]+$'), 1) AS sn FROM {source}),
+    toks AS (SELECT chunk_id, sn, unnest(regexp_extract_all(sentence, '[0-9A-Za-z''-]+')) AS w, generate_subscripts(regexp_extract_all(sentence, '[0-9A-Za-z''-]+'), 1) AS i FROM sentences),
+    ahead AS (SELECT *, {following} FROM toks WINDOW o AS (PARTITION BY chunk_id, sn ORDER BY i)),
+    runs AS (SELECT *, w || {run} AS run FROM ahead),
+    offers AS (SELECT chunk_id, sn, i, 1 AS kind, run AS name, CASE WHEN contains(run, ' ') THEN 0.9 ELSE 0.75 END::DOUBLE AS sure FROM runs WHERE i > 1 AND {upper('w')} AND length(w) > 1
+        UNION ALL SELECT chunk_id, sn, i, 2, w, 0.8::DOUBLE FROM runs WHERE regexp_matches(w, '^[A-Z0-9]{{2,}}$')),
+    clean AS (SELECT * REPLACE (regexp_replace(lower(name), {marks}, '', 'g') AS name) FROM offers),
+    met AS (SELECT chunk_id, name AS entity, arg_min(sure, (sn, i, kind)) AS first_, max(sure) FILTER (kind = 1) AS best_ FROM clean WHERE length(name) > 1 AND name NOT IN ({skip}) GROUP BY ALL),
+    s AS (SELECT chunk_id, entity, 'PROPER_NOUN' AS type, greatest(first_, coalesce(best_, 0)) AS confidence FROM met
+        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY greatest(first_, coalesce(best_, 0)) DESC, entity) <= 20)"""
+
+
+_SIMPLE = f"{_WINDOWS}, cut AS (SELECT doc_id * 1000 + chunk_index AS chunk_id, text FROM windows), {_names('cut')}"
+_DOCUMENT = f"whole AS (SELECT doc_id AS chunk_id, text FROM documents), {_names('whole')}"
 _PAIRS = "pairs AS (SELECT DISTINCT a.entity, b.entity AS other FROM s a JOIN s b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity)"
 _LOG = "log AS (SELECT user_id AS id, 'd' || (event_id % 3) AS writer, event_id // 2 AS sync_clock, value::VARCHAR AS props, value, event_type = 'error' AS is_deleted FROM events)"
 _REPLICAS = f"{_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY writer, id ORDER BY sync_clock DESC) AS k FROM log), rep AS (SELECT * FROM r WHERE k = 1)"
 _WON = "SELECT id, sync_clock, writer, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sync_clock DESC, writer DESC) AS w FROM rep{0}) WHERE w = 1"
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_ACCENTED, _PLAIN = "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÇÑàáâãäåèéêëìíîïòóôõöùúûüçñ", "aaaaaaeeeeiiiiooooouuuucn" * 2
+#: Words of whole texts as sub-words of single letters: [CLS] 2, [SEP] 3, [UNK] 1, first letters from 4, later ones from 40.
+_PIECES = f"""words AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(coalesce(text, ''), '[!-/:-@\\[-`{{-~]|[^ \\t\\n\\r!-/:-@\\[-`{{-~]+')) AS raw FROM documents),
+    folded AS (SELECT chunk_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{_ACCENTED}', 'abcdefghijklmnopqrstuvwxyz{_PLAIN}') AS w FROM words),
+    ids AS (SELECT chunk_id, unnest(CASE WHEN regexp_matches(w, '^[0-9a-z]+$') THEN list_transform(string_split(w, ''), lambda c, i: strpos('{_LETTERS}', c) + CASE WHEN i = 1 THEN 3 ELSE 39 END) ELSE [1] END) AS id FROM folded
+        UNION ALL SELECT doc_id, unnest([2, 3]) FROM documents)"""
+_HASHED = f"""{_PIECES}, counts AS (SELECT chunk_id, id, count(*) AS m FROM ids GROUP BY ALL), sizes AS (SELECT chunk_id, sum(m) AS n FROM counts GROUP BY ALL),
+    grid AS (SELECT i.id, a.axis, (i.id * 2654435761 + a.axis * 40503)::UBIGINT AS h0 FROM range(1, 76) i(id), range(64) a(axis)),
+    mixed AS (SELECT id, axis, ((xor(h0, h0 >> 16)) * 73244475)::UBIGINT AS h2 FROM grid),
+    numbers AS (SELECT id, axis, ((xor(h2, h2 >> 16) & 65535)::DOUBLE - 32768) / 32768 AS x FROM mixed),
+    mean AS (SELECT chunk_id, axis, sum(m * x) / max(n) AS v FROM counts JOIN sizes USING (chunk_id) JOIN numbers USING (id) GROUP BY ALL),
+    unit AS (SELECT chunk_id, sqrt(sum(v * v)) AS len, max(v) FILTER (axis = 0) AS a, max(v) FILTER (axis = 63) AS z FROM mean GROUP BY ALL)"""
 
 SQL = {
+    "wordpiece_encode": f"WITH {_PIECES} SELECT chunk_id, count(*)::INTEGER AS n_ids, sum(id)::BIGINT AS id_sum FROM ids GROUP BY chunk_id",
+    "hash_embed": f"""WITH {_HASHED} SELECT doc_id AS chunk_id, 1.0::DOUBLE AS norm, CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE round(a / len, 3) END::DOUBLE AS first,
+        CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE round(z / len, 3) END::DOUBLE AS last FROM documents JOIN unit ON doc_id = chunk_id""",
     "knn_exact": f"WITH {_NEAR} SELECT vec_id, distance FROM d ORDER BY distance, vec_id LIMIT 10",
     "knn_batch": f"WITH {_BATCH} SELECT * FROM top",
     "knn_radius": f"WITH {_NEAR} SELECT vec_id, distance FROM d WHERE distance <= 0.6",
@@ -165,6 +204,20 @@ SQL = {
     "relation_cascade_delete": f"""WITH {_EDGES}, gone AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT')
         SELECT relation, count(*) AS n, sum(from_id)::BIGINT AS sum_from FROM edges WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone) GROUP BY relation""",
     "relation_two_hops": "SELECT r_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+    "entities_extracted": f"WITH {_DOCUMENT} SELECT chunk_id, entity, type, confidence FROM s",
+    "graph_rrf": f"""WITH {_CHUNKS}, {_Q}, {_names('c')},
+        near AS (SELECT *, round(1 - list_dot_product(x, qv), 6) AS distance FROM c, q ORDER BY distance, chunk_id LIMIT 200),
+        placed AS (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS cand_pos FROM near),
+        wanted AS (SELECT DISTINCT entity FROM s WHERE chunk_id IN (SELECT chunk_id FROM placed WHERE cand_pos <= 40)),
+        ov AS (SELECT chunk_id, count(*) AS shared FROM s WHERE entity IN (SELECT entity FROM wanted) GROUP BY chunk_id),
+        top AS (SELECT chunk_id AS b_id, doc_id AS b_doc, page_number AS b_page FROM placed WHERE cand_pos = 1),
+        sig AS (SELECT *, round(1 - distance, 6) AS cosine_score,
+            round(CASE WHEN chunk_id = b_id THEN 1.0 WHEN doc_id = b_doc THEN 1.0 / (1 + abs(page_number - b_page)) ELSE 0.0 END, 6)::DOUBLE AS page_score,
+            round({_jaccard('qk', 'ck')}, 6)::DOUBLE AS keyword_score, coalesce(shared, 0) AS shared_
+            FROM (SELECT *, {_keywords(chr(39) + QUERY_TEXT + chr(39))} AS qk, {_keywords('text')} AS ck FROM placed LEFT JOIN ov USING (chunk_id), top)),
+        ranks AS (SELECT *, row_number() OVER (ORDER BY cosine_score DESC, cand_pos) AS r1, row_number() OVER (ORDER BY page_score DESC, cand_pos) AS r2, row_number() OVER (ORDER BY keyword_score DESC, cand_pos) AS r3, row_number() OVER (ORDER BY shared_ DESC, cand_pos) AS r4 FROM sig),
+        scored AS (SELECT chunk_id, cand_pos, round({_RRF} + CASE WHEN shared_ > 0 THEN 0.1::DOUBLE / (60 + r4) ELSE 0 END, 9)::DOUBLE AS score FROM ranks)
+        SELECT row_number() OVER (ORDER BY score DESC, cand_pos)::INTEGER AS rank, chunk_id, score FROM scored ORDER BY score DESC, cand_pos LIMIT 10""",
     "entity_chunks": f"WITH {_SIMPLE} SELECT entity, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM s GROUP BY entity",
     "entity_cooccurrence": f"WITH {_SIMPLE}, {_PAIRS} SELECT * FROM pairs",
     "entity_related_2hop": f"""WITH {_SIMPLE}, {_PAIRS}, start AS (SELECT DISTINCT entity FROM s WHERE chunk_id % 20 = 0),

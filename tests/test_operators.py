@@ -146,6 +146,15 @@ def test_entities():
     assert entities.extract(None) == [] and entities.extract("She is Dr. The") == []
 
 
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["the", "The", "BERT", "Ada", "Lovelace-", "'Ada", "x", "X", "42", "é", "Dr", ". ", "! ", " ", ", ", "\n", "minilm"]), max_size=25).map(" ".join), min_size=30, max_size=60))
+def test_entities_in_the_jvm_agree(spark, rows):
+    df = table(spark, [*enumerate(rows), (999, None)], "chunk_id long, text string")
+    for terms in ((), ("minilm", "ada")):
+        got = {(r["chunk_id"], r["entity"], r["type"], r["confidence"]) for r in entities.extracted(df, terms).collect()}
+        assert got == {(i, e["text"], e["type"], e["confidence"]) for i, t in enumerate(rows) for e in entities.extract(t, terms)}
+
+
 def test_entity_graph(spark):
     e = table(spark, [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c"), (4, "a"), (4, "c")], "chunk_id long, entity string")
     pairs = entities.cooccurrence(e)
@@ -227,6 +236,43 @@ def test_hash_embedding():
         assert np.linalg.norm(e.embed("a text")) == pytest.approx(1) and e.embed("")[0] == 1 and (e.embed("a") == e.embed("a")).all()
 
 
+def test_long_words_and_whole_texts():
+    vocabulary = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "a": 4, "##a": 5, "É": 6, "é": 7, "?": 8}
+    ids, n = embed.WordPiece(vocabulary, None).encode("a" * 200_000 + " z")
+    assert n == len(ids) == 200_003 and ids[:3] == [2, 4, 5] and ids[-2:] == [1, 3]
+    coder = embed.UnicodeWordPiece(vocabulary, 8)
+    assert coder.encode("É?aa " + "a" * 101) == ([2, 7, 8, 4, 5, 1, 3, 0], 7) and coder.encode(None)[1] == 2
+
+
+def test_hash_embedding_by_plain_loops():
+    import hashlib
+    import math
+
+    def unit(v):
+        length = math.sqrt(sum(x * x for x in v))
+        return [x / length for x in v] if length > 1e-8 else v
+
+    for words in (["b", "a", "b"], ["zwölf"] * 5000, []):
+        want = [sum((((int(hashlib.sha256(w.encode()).hexdigest(), 16) ^ d * 2654435761 ^ i * 40503) & 0xFFFF) - 32768) / 32768 for i, w in enumerate(words)) / max(1, len(words)) for d in range(5)]
+        assert embed.WordHashEmbedder(5).embed(" ".join(words).upper()) == pytest.approx(unit(want))
+    for t in ("", "hello", "\U0001F600 é" * 50):
+        seed = 0
+        for i in range(0, len(raw := t.encode("utf-16-be")), 2):
+            seed = (seed * 31 + raw[i] * 256 + raw[i + 1]) & 0xFFFFFFFF
+        seed -= (seed >> 31) << 32
+        want = [((((seed * 6364136223846793005 + 1442695040888963407) & (2**64 - 1)) ^ d) & 0xFFFFF) / 0xFFFFF * 2 - 1 for d in range(7)]
+        assert embed.SeededEmbedder(7).embed(t) == pytest.approx(unit(want))
+    body, wide = "long text " * 3000, 2**64
+    want = []
+    for d in range(3):
+        total = 0
+        for i, c in enumerate(body.encode()):
+            h = (c * 2654435761 + d * 40503 + i * 1000003) % wide
+            total += ((((h ^ (h >> 16)) * 0x45D9F3B) % wide & 0xFFFF) - 32768) / 32768
+        want.append(total / len(body))
+    assert embed.HashEmbedder(dim=3).embed(body) == pytest.approx(unit(want))
+
+
 def test_tumbling_stream_of_many_files(spark, tmp_path):
     """More files than one micro-batch reads, the latest first: no row is late."""
     day, files = 86_400, 130
