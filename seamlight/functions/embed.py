@@ -22,6 +22,8 @@ FOLD = {cp + shift: base for base, cps in _FOLDS.items() for cp in cps for shift
 
 # Fixed values of the hash embedding: factors of a token's id, of an axis, of a byte's place, and of the mixing step.
 _STEP, _AXIS, _PLACE, _MIX = 2654435761, 40503, 1000003, 0x45D9F3B
+#: Words whose pieces a worker remembers, and the characters of each, at most.
+_CACHE_WORDS, _CACHE_CHARACTERS = 100_000, 64
 #: Tokens or bytes that are hashed at once.
 _BLOCK = 4096
 
@@ -40,41 +42,72 @@ class WordPiece:
 
     def __init__(self, vocabulary: dict[str, int], max_length: int | None = 128):
         self.vocabulary, self.max_length = vocabulary, max_length
-        self.longest = max(map(len, vocabulary), default=0)
+        # lengths that a piece may have, at a word's begin and after it, longest first
+        self.heads = sorted({len(t) for t in vocabulary}, reverse=True)
+        self.tails = sorted({len(t) - 2 for t in vocabulary if t.startswith("##") and len(t) > 2}, reverse=True)
+        self.cache = {}
         self.cls, self.sep, self.pad, self.unk = (vocabulary.get(k, v) for k, v in SPECIAL.items())
 
     def basic(self, text: str) -> Iterator[str]:
         """Folded words and single punctuation marks, one after the other, so that a reader may stop early."""
-        return (m[0].translate(FOLD) for m in _WORDS.finditer(text))
+        return (w.translate(FOLD) if not w.islower() or not w.isascii() else w for w in (m[0] for m in _WORDS.finditer(text)))
 
     def pieces(self, word: str) -> list[int]:
         if word in self.vocabulary:
             return [self.vocabulary[word]]
         out, start = [], 0
         while start < len(word):
-            for end in range(min(len(word), start + self.longest), start, -1):
-                piece = word[start:end] if start == 0 else "##" + word[start:end]
-                if piece in self.vocabulary:
+            for size in self.tails if start else self.heads:
+                piece = "##" + word[start : start + size] if start else word[:size]
+                if start + size <= len(word) and piece in self.vocabulary:
                     out.append(self.vocabulary[piece])
-                    start = end
+                    start += size
                     break
             else:
                 return [self.unk]
         return out
 
+    def known(self, word: str):
+        """The pieces of a word as an array, remembered for short ones."""
+        import numpy as np
+
+        if len(word) > _CACHE_CHARACTERS:
+            return np.array(self.pieces(word), np.int64)
+        if (ids := self.cache.get(word)) is None:
+            if len(self.cache) >= _CACHE_WORDS:
+                self.cache.clear()
+            ids = self.cache[word] = np.array(self.pieces(word), np.int64)
+        return ids
+
+    def ids(self, text: str | None):
+        """The ids that count, as an array; each word has a piece at least, so a limit of ids is one of words too."""
+        import numpy as np
+
+        most = None if self.max_length is None else self.max_length - 2
+        found = [self.known(w) for w in islice(self.basic(text or ""), most)]
+        inner = np.concatenate(found)[:most] if found else np.zeros(0, np.int64)
+        return np.concatenate([[self.cls], inner, [self.sep]])
+
+    def __getstate__(self):
+        return self.__dict__ | {"cache": {}}
+
     def encode(self, text: str | None) -> tuple[list[int], int]:
         """(ids padded to max_length, how many of them count)."""
-        found = (i for w in self.basic(text or "") for i in self.pieces(w))
-        real = [self.cls, *(found if self.max_length is None else islice(found, self.max_length - 2)), self.sep]
+        real = self.ids(text).tolist()
         return real + [self.pad] * ((self.max_length or 0) - len(real)), len(real)
 
     def column(self, text):
         """struct(input_ids, attention_mask, token_type_ids, actual_length) of a text column."""
 
+        import numpy as np
+
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
-                coded = [self.encode(t) for t in texts]
-                yield pd.DataFrame({"input_ids": [c[0] for c in coded], "attention_mask": [[1] * n + [0] * (len(ids) - n) for ids, n in coded], "token_type_ids": [[0] * len(c[0]) for c in coded], "actual_length": [c[1] for c in coded]})
+                real = [self.ids(t) for t in texts]
+                blank = [max(0, (self.max_length or 0) - r.size) for r in real]
+                padded = [np.pad(r, (0, b), constant_values=self.pad) for r, b in zip(real, blank)]
+                mask = [np.pad(np.ones(r.size, np.int64), (0, b)) for r, b in zip(real, blank)]
+                yield pd.DataFrame({"input_ids": padded, "attention_mask": mask, "token_type_ids": [np.zeros_like(m) for m in mask], "actual_length": [r.size for r in real]})
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "input_ids array<bigint>, attention_mask array<bigint>, token_type_ids array<bigint>, actual_length int")(text)
@@ -112,13 +145,15 @@ class HashEmbedder:
             out[0] = 1
             return out
         if self.tokenizer:
-            ids, n = self.tokenizer.encode(text)
-            codes = np.array([i for i in ids[:n] if i != self.tokenizer.pad], np.uint64) * np.uint64(_STEP)
+            ids = self.tokenizer.ids(text)
+            codes, often = np.unique(ids[ids != self.tokenizer.pad], return_counts=True)
+            n, codes = ids.size, codes.astype(np.uint64) * np.uint64(_STEP)
         else:
             codes = np.frombuffer(text.encode(), np.int8).astype(np.int64).view(np.uint64)
-            n, codes = codes.size, codes * np.uint64(_STEP) + np.arange(codes.size, dtype=np.uint64) * np.uint64(_PLACE)
+            codes = codes * np.uint64(_STEP) + np.arange(codes.size, dtype=np.uint64) * np.uint64(_PLACE)
+            n, often = codes.size, np.ones(codes.size)
         for start in range(0, codes.size, _BLOCK):
-            out += self._values(codes[start : start + _BLOCK]).sum(0)
+            out += often[start : start + _BLOCK] @ self._values(codes[start : start + _BLOCK])
         out /= n
         length = np.sqrt((out * out).sum())
         return out / length if length > 1e-8 else out

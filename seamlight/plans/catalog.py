@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..functions.embed import HashEmbedder, WordPiece
-from ..functions.session import importable, scratch
+from ..functions.session import importable, materialise, scratch
 from ..operators import ann, context, entities, ingest, knn, objects, ranking, sync
 from ..operators.lexical import LexicalIndex, normalized
 from ..operators.retrieval import RetrievalSpec, linked_chunks, retrieve
@@ -33,7 +33,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-_INDEXES: dict[tuple[str, str, str], LexicalIndex | ann.VectorIndex] = {}
+_INDEXES: dict[tuple[str, str, str], LexicalIndex | ann.VectorIndex | DataFrame] = {}
 
 
 def lexical_index(spark: SparkSession, d: str, kind: str = "texts") -> LexicalIndex:
@@ -310,10 +310,17 @@ def relation_two_hops(spark, d):
 # --- entity graph ----------------------------------------------------------------------------------------------------
 
 
-def _entities(spark, d) -> DataFrame:
-    """Entities of each document's windows of words; a window's chunk_id is the document's times 1000, plus its place."""
-    c = ingest.chunked(table(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    return entities.chunk_entities(c)
+def entity_index(spark: SparkSession, d: str, kind: str = "windows") -> DataFrame:
+    """chunk_id, entity of all documents (texts), those with a vector (chunks), or windows of words of each document, whose
+    chunk_id is the document's times 1000, plus its place: extracted and written once an application."""
+    key = (spark.sparkContext.applicationId, d, "entities of " + kind)
+    if key not in _INDEXES:
+        if kind == "windows":
+            rows = ingest.chunked(table(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
+        else:
+            rows = texts(spark, d) if kind == "texts" else chunks(spark, d).select("chunk_id", "text")
+        _INDEXES[key] = materialise(entities.chunk_entities(rows), "entities")
+    return _INDEXES[key]
 
 
 def entities_extracted(spark, d):
@@ -321,33 +328,33 @@ def entities_extracted(spark, d):
 
 
 def entity_chunks(spark, d):
-    return _entities(spark, d).groupBy("entity").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+    return entity_index(spark, d).groupBy("entity").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 def entity_cooccurrence(spark, d):
-    return entities.cooccurrence(_entities(spark, d))
+    return entities.cooccurrence(entity_index(spark, d))
 
 
 def entity_related_2hop(spark, d):
-    s = _entities(spark, d)
+    s = entity_index(spark, d)
     start = s.filter("chunk_id % 20 = 0").select("entity")
     return entities.related(start, entities.cooccurrence(s), 2)
 
 
 def kg_expand(spark, d):
     best = bm25_normalized(spark, d).select("rank", "chunk_id").filter("rank <= 5")
-    return entities.expand(best, entities.chunk_entities(texts(spark, d)))
+    return entities.expand(best, entity_index(spark, d, "texts"))
 
 
 def entity_remove(spark, d):
-    s = _entities(spark, d)
+    s = entity_index(spark, d)
     return entities.remove_chunks(s, s.filter("chunk_id % 3 = 0")).groupBy("entity").agg(F.count("*").alias("n_chunks"))
 
 
 def graph_rrf(spark, d):
     """Reciprocal ranks with the entities of the 40 nearest chunks as the query's."""
     c = chunks(spark, d)
-    s = entities.chunk_entities(c)
+    s = entity_index(spark, d, "chunks")
     near = knn.nearest(c, query_vector(spark, d), 200, "chunk_id")
     placed = near.withColumn("cand_pos", F.row_number().over(Window.partitionBy().orderBy("distance", "chunk_id")))
     wanted = s.join(placed.filter("cand_pos <= 40").select("chunk_id"), "chunk_id", "left_semi").select("entity")
