@@ -16,7 +16,7 @@ RESULT = ["rank", "chunk_id", "score", "cosine_score", "page_score", "keyword_sc
 
 @dataclass(frozen=True)
 class RetrievalSpec:
-    """One query and its settings. mode: hybrid, vector or bm25; ranker: linear, rrf or graph_rrf."""
+    """One query and its settings. mode: hybrid, vector or bm25; ranker: linear, rrf, graph_rrf, or none (the plain similarity)."""
 
     text: str = ""
     vector: tuple | None = None
@@ -98,7 +98,9 @@ def retrieve(chunks: DataFrame, spec: RetrievalSpec, index: LexicalIndex | None
             found = found.join(allowed, "chunk_id", "left_semi")
         found = found.join(chunks.select("chunk_id", "text", "doc_id", "page_number"), "chunk_id")
         scored = ranking.signals(found, spec.text, spec.page_index)
-        if spec.ranker == "linear":
+        if spec.ranker == "none":
+            scored = scored.withColumns({"score": F.col("cosine_score"), "page_score": F.lit(0.0), "keyword_score": F.lit(0.0)})
+        elif spec.ranker == "linear":
             scored = ranking.linear(scored, spec.alpha, spec.beta, spec.gamma)
         else:
             overlap = None

@@ -207,6 +207,18 @@ def hybrid_no_page(spark, d):
     return _shown(retrieve(chunks(spark, d), spec(spark, d, page_index=False), lexical_index(spark, d, "chunks")))
 
 
+def retrieval_raw(spark, d):
+    return _shown(retrieve(chunks(spark, d), spec(spark, d, ranker="none"), lexical_index(spark, d, "chunks")))
+
+
+def retrieval_bm25(spark, d):
+    return _shown(retrieve(chunks(spark, d), spec(spark, d, mode="bm25"), lexical_index(spark, d, "chunks")))
+
+
+def hybrid_expanded(spark, d):
+    return _shown(retrieve(chunks(spark, d), spec(spark, d, expand=True), lexical_index(spark, d, "chunks"), chunk_entities=entity_index(spark, d, "chunks")))
+
+
 def page_proximity(spark, d):
     c = chunks(spark, d)
     near = knn.nearest(c, query_vector(spark, d), 30, "chunk_id").withColumn("cand_pos", F.lit(0))
@@ -276,6 +288,13 @@ def object_latest(spark, d):
     return objects.latest(e.withColumn("id", F.col("user_id")).drop("user_id")).select("id", "type_name", "props", "sync_clock", "is_deleted")
 
 
+def object_upsert(spark, d):
+    """Deleted events are written anew."""
+    e = event_objects(spark, d)
+    again = e.filter("is_deleted").select("id", "type_name", F.lit('{"k": -1}').alias("props"))
+    return objects.upsert(e, again).select("id", "props", "sync_clock", "is_deleted")
+
+
 def property_index(spark, d):
     return objects.property_index(event_objects(spark, d)).groupBy("type_name", "key", "value").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
@@ -299,6 +318,13 @@ def relation_cascade_delete(spark, d):
     return objects.without_records(order_edges(spark, d), ids).groupBy("relation").agg(F.count("*").alias("n"), F.sum("from_id").alias("sum_from"))
 
 
+def relation_edges_removed(spark, d):
+    edges = order_edges(spark, d)
+    ids = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    gone = objects.targets(edges, "placed_by", ids).withColumn("relation", F.lit("placed_by"))
+    return objects.remove_edges(edges, gone).groupBy("relation").agg(F.count("*").alias("n"), F.sum("to_id").alias("sum_to"))
+
+
 def relation_two_hops(spark, d):
     """Nation to region through customers: orders of each region."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
@@ -410,6 +436,14 @@ def sync_tombstones(spark, d):
     return sync.merge_chunks(c.filter("chunk_id % 2 = 0"), c, dead).select("chunk_id", "sync_clock")
 
 
+def sync_apply_deletes(spark, d):
+    """Deletes of toxic documents reach a replica that has all of them; rows that stay come with clock -1."""
+    c, none = texts(spark, d).select("chunk_id"), spark.createDataFrame([], "chunk_id long, clock long")
+    deletes = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("clock"))
+    kept, tombstones = sync.apply_deletes(c, none, deletes)
+    return kept.select("chunk_id", F.lit(-1).cast("bigint").alias("clock")).unionByName(tombstones.select("chunk_id", "clock"))
+
+
 def sync_lamport(spark, d):
     return change_log(spark, d).groupBy("device").agg(F.max("clock").alias("clock")).unionByName(sync.current_clock((change_log(spark, d), "clock")).select(F.lit("all").alias("device"), "clock"))
 
@@ -484,12 +518,12 @@ knn_exact knn_batch knn_radius true_cosine_top vector_norm_check l2_normalize in
 knn_difficulty_gap ivf_recall lsh_recall
 term_frequencies doc_lengths bm25_idf bm25_search bm25_normalized keyword_jaccard token_estimates
 chunk_words chunk_words_min_len chunk_chars_budget ingest_new_docs
-hybrid_linear hybrid_rrf vector_only hybrid_no_page page_proximity hybrid_filtered_post hybrid_filtered_pre
+hybrid_linear hybrid_rrf hybrid_expanded retrieval_raw retrieval_bm25 vector_only hybrid_no_page page_proximity hybrid_filtered_post hybrid_filtered_pre
 context_budget context_string context_words_skip
-object_by_property object_list_page object_counts object_latest property_index
-relation_targets relation_sources relation_edges_distinct relation_cascade_delete relation_two_hops
+object_by_property object_list_page object_counts object_latest object_upsert property_index
+relation_targets relation_sources relation_edges_distinct relation_cascade_delete relation_edges_removed relation_two_hops
 entities_extracted entity_chunks entity_cooccurrence entity_related_2hop kg_expand entity_remove graph_rrf
-sync_export_since sync_lww_merge sync_idempotent sync_conflict_stats sync_tombstones sync_lamport delta_round_trip
+sync_export_since sync_lww_merge sync_idempotent sync_conflict_stats sync_tombstones sync_apply_deletes sync_lamport delta_round_trip
 stream_lww stream_tumbling_events stream_sliding_events stream_session_events
 wordpiece_encode hash_embed
 """.split()

@@ -173,6 +173,16 @@ SQL = {
     "ingest_new_docs": f"WITH {_WINDOWS} SELECT doc_id, count(*) AS n_chunks FROM windows WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id",
     "hybrid_linear": _hybrid(_LINEAR, 6) + _SHOW,
     "hybrid_rrf": _hybrid(_RRF, 9) + _SHOW,
+    "retrieval_raw": _hybrid("cosine_score", 6) + " SELECT rank, chunk_id, score, cosine_score, 0.0::DOUBLE AS page_score, 0.0::DOUBLE AS keyword_score, doc_id, page_number FROM best",
+    "retrieval_bm25": _hybrid(_LINEAR, 6) + """, five AS (SELECT * FROM words ORDER BY bm25 DESC, chunk_id LIMIT 5),
+        z AS (SELECT row_number() OVER (ORDER BY bm25 DESC, chunk_id)::INTEGER AS rank, chunk_id, round(bm25 / greatest(1e-6, max(bm25) OVER ()), 6) AS score FROM five)
+        SELECT rank, chunk_id, score, 0.0::DOUBLE AS cosine_score, 0.0::DOUBLE AS page_score, score AS keyword_score, doc_id, page_number FROM z JOIN c USING (chunk_id)""",
+    "hybrid_expanded": _hybrid(_LINEAR, 6) + ", " + _names("c").replace("    s AS (SELECT chunk_id, entity", "    ents AS (SELECT chunk_id, entity") + """,
+        own AS (SELECT DISTINCT entity FROM ents WHERE chunk_id IN (SELECT chunk_id FROM best WHERE rank <= 3)),
+        wanted AS (SELECT entity FROM own UNION SELECT entity FROM ents WHERE chunk_id IN (SELECT chunk_id FROM ents WHERE entity IN (SELECT entity FROM own))),
+        m AS (SELECT chunk_id, count(*) AS matches FROM ents WHERE entity IN (SELECT entity FROM wanted) AND chunk_id NOT IN (SELECT chunk_id FROM best) GROUP BY chunk_id ORDER BY matches DESC, chunk_id LIMIT 5)
+        SELECT rank, chunk_id, score, cosine_score, page_score, keyword_score, doc_id, page_number FROM best
+        UNION ALL SELECT 5 + row_number() OVER (ORDER BY matches DESC, chunk_id)::INTEGER, chunk_id, 0, 0, 0, 0, doc_id, page_number FROM m JOIN c USING (chunk_id)""",
     "vector_only": _hybrid(_LINEAR, 6, mode="vector") + _SHOW,
     "hybrid_no_page": _hybrid(_LINEAR, 6, page_index=False) + _SHOW,
     "hybrid_filtered_post": _hybrid(_LINEAR, 6, filter_mode="post") + _SHOW,
@@ -197,12 +207,15 @@ SQL = {
     "object_list_page": f"WITH {_OBJECTS} SELECT id, props FROM o WHERE NOT is_deleted AND type_name = 'click' ORDER BY id LIMIT 50 OFFSET 20",
     "object_counts": f"WITH {_OBJECTS} SELECT type_name, count(*) AS n FROM o WHERE NOT is_deleted GROUP BY type_name",
     "object_latest": f"WITH {_OBJECTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sync_clock DESC) AS k FROM o) SELECT user_id AS id, type_name, props, sync_clock, is_deleted FROM r WHERE k = 1",
+    "object_upsert": f"""WITH {_OBJECTS} SELECT id, CASE WHEN is_deleted THEN '{{"k": -1}}' ELSE props END AS props, CASE WHEN is_deleted THEN sync_clock + 1 ELSE sync_clock END AS sync_clock, false AS is_deleted FROM o""",
     "property_index": f"WITH {_OBJECTS} SELECT type_name, 'k' AS key, props::JSON ->> '$.k' AS value, count(*) AS n, min(id) AS first_id FROM o WHERE NOT is_deleted GROUP BY ALL",
     "relation_targets": f"WITH {_EDGES} SELECT from_id, to_id FROM edges WHERE relation = 'contains' AND from_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "relation_sources": f"WITH {_EDGES} SELECT from_id, to_id FROM edges WHERE relation = 'placed_by' AND to_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "relation_edges_distinct": f"WITH {_EDGES} SELECT relation, count(*) AS n FROM (SELECT DISTINCT * FROM edges) GROUP BY relation",
     "relation_cascade_delete": f"""WITH {_EDGES}, gone AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT')
         SELECT relation, count(*) AS n, sum(from_id)::BIGINT AS sum_from FROM edges WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone) GROUP BY relation""",
+    "relation_edges_removed": f"""WITH {_EDGES} SELECT relation, count(*) AS n, sum(to_id)::BIGINT AS sum_to FROM edges
+        WHERE relation <> 'placed_by' OR from_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY relation""",
     "relation_two_hops": "SELECT r_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
     "entities_extracted": f"WITH {_DOCUMENT} SELECT chunk_id, entity, type, confidence FROM s",
     "graph_rrf": f"""WITH {_CHUNKS}, {_Q}, {_names('c')},
@@ -240,6 +253,8 @@ SQL = {
                count(*) FILTER (b.sync_clock = a.sync_clock AND b.writer > a.writer) AS ties_won,
                count(*) FILTER (b.sync_clock < a.sync_clock OR b.sync_clock = a.sync_clock AND b.writer <= a.writer) AS skipped FROM b LEFT JOIN a ON a.id = b.id""",
     "sync_tombstones": "SELECT doc_id AS chunk_id, doc_id % 10 AS sync_clock FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0 OR doc_id % 10 > 5",
+    "sync_apply_deletes": """SELECT doc_id AS chunk_id, -1::BIGINT AS clock FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        UNION ALL SELECT DISTINCT doc_id, doc_id FROM labels WHERE toxic = 1""",
     "sync_lamport": f"WITH {_LOG} SELECT writer AS device, max(sync_clock) AS clock FROM log GROUP BY writer UNION ALL SELECT 'all', max(sync_clock) FROM log",
     "delta_round_trip": f"WITH {_REPLICAS} SELECT id, sync_clock, writer, is_deleted FROM rep WHERE writer = 'd0' AND sync_clock > 100",
     "stream_lww": f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sync_clock DESC, writer DESC) AS k FROM log) SELECT id AS record_id, sync_clock AS clock, writer AS device, value, is_deleted FROM r WHERE k = 1",
