@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HUB_ROWS, discard, hubs_of, lookup, materialise, plain_strings, salted_join, small_batches
+from .shared import BROADCAST_ROWS, HUB_ROWS, discard, hubs_of, lookup, materialise, plain_strings, salted_join, small_batches
 
 #: Buckets that each document's sketch is put in.
 BANDS = 42
@@ -24,6 +24,8 @@ CENTRES = 256
 MARKS, BLOCK, SIGMAS = 2048, 256, 6
 #: Texts of so many bytes, or one text, are shingled at once.
 SLICE_BYTES = 1 << 22
+#: Up to so many links are joined to components on the driver; more by shuffles. The result is the same.
+FEW_LINKS = BROADCAST_ROWS
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -314,6 +316,26 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def joined(links: DataFrame) -> DataFrame | None:
+    """(id, component) as by `components`, small enough to be broadcast, by union-find on the driver; None for more than FEW_LINKS links."""
+    import numpy as np
+
+    if links.count() > FEW_LINKS:
+        return None
+    found = links.select("a", "b").toArrow()
+    ids, ends = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
+    root = list(range(ids.size))  # places in the sorted ids, so the least place is that of the least id
+    for a, b in zip(ends[: found.num_rows].tolist(), ends[found.num_rows :].tolist()):
+        while a != root[a]:
+            root[a] = a = root[root[a]]
+        while b != root[b]:
+            root[b] = b = root[root[b]]
+        root[max(a, b)] = min(a, b)
+    for i, above in enumerate(root):
+        root[i] = root[above]
+    return links.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(ids[root], pa.int64())}))
+
+
 def _central(entries: DataFrame, slots: int, turn: int) -> DataFrame:
     """(key, centres, total, size): for each bucket with two labels or more, up to `slots` members, those of most bucket mates first."""
     slot = F.pmod(F.xxhash64("rep", "h", F.lit(turn)), F.lit(slots))
@@ -391,7 +413,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     entries = materialise(met.join(mates.hint("merge"), ["rep", "h"]).withColumn("label", F.col("rep")), "entries")
     discard(met, crowded)
     firsts_of = materialise(entries.select("rep").distinct(), "wanted")
-    sets = marks = tested = links = labels = None
+    sets = marks = tested = links = labels = few = None
     turn = 0
     while True:
         centres = materialise(_central(entries, CENTRAL[turn], turn) if turn < len(CENTRAL) else _strangers(entries, CENTRES, turn), "centres")
@@ -419,11 +441,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             new = materialise(confirm(pairs, sets, percent), "links")
             if fresh := not new.isEmpty():
                 links = new if links is None else links.union(new)
-                before, labels = labels, _spread(links, labels)
+                few = joined(links)
+                before, labels = labels, few if few is not None else _spread(links, labels)
                 discard(before)
         rest = met.filter(~F.exists("centres", lambda c: (c["rep"] == F.col("rep")) & (c["h"] == F.col("h")))).select(*entries.columns)
         if fresh:
-            rest = rest.join(labels.hint("merge"), rest["rep"] == labels["id"], "left").withColumn("label", F.coalesce("component", "label")).select(*entries.columns)
+            rest = rest.join(labels.hint("merge" if few is None else "broadcast"), rest["rep"] == labels["id"], "left").withColumn("label", F.coalesce("component", "label")).select(*entries.columns)
         before, entries = entries, materialise(rest, "entries")
         discard(before, centres)
         turn += 1
@@ -431,8 +454,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     # classes get their component, then all rows of a class, which may be a third of the table, look it up
     named = classes.select("set_hash", F.col("rep").alias("component"))
     if links is not None:
-        reached = components(links).select(F.col("id").alias("rep"), F.col("component").alias("reached"))
-        named = materialise(classes.join(reached.hint("merge"), "rep", "left").select("set_hash", F.coalesce("reached", "rep").alias("component")), "named")
+        reached = (components(links) if few is None else labels).select(F.col("id").alias("rep"), F.col("component").alias("reached"))
+        named = materialise(classes.join(reached.hint("merge" if few is None else "broadcast"), "rep", "left").select("set_hash", F.coalesce("reached", "rep").alias("component")), "named")
     own = F.col("set_hash").isNotNull() & F.col("id").isNotNull()
     some = lookup(signed.filter(own).select("set_hash", "id", "n_shingles"), named, "set_hash", hubs_of(classes, "set_hash", "copies"))
     every = some.select("id", "n_shingles", "component").unionByName(signed.filter(~own).select("id", "n_shingles", F.col("id").alias("component")))

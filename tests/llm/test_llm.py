@@ -121,6 +121,32 @@ def test_components(spark, monkeypatch):
         assert got == {1000: 10, **{i: 10 for i in range(11, 60)}, **{i: 2 for i in range(100, 160)}, **{i: 200 for i in range(201, 231)}}
 
 
+def test_op1_few_links(spark, monkeypatch):
+    """Chains, stars and a hot group: joined on the driver, links give the components that shuffles give, in far fewer jobs."""
+    rng, tracker, rows, jobs = np.random.default_rng(4), spark.sparkContext.statusTracker(), {}, {}
+    for family in range(5):
+        words = [f"f{family}_{i}" for i in range(150)]
+        for step in range(8):
+            rows[500 - 50 * family - step * (-1) ** family] = " ".join(words)
+            words[int(rng.integers(0, 150))] = f"s{step}"
+    rows |= {i: rows[500] for i in range(900, 930)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    for few in (0, 100_000):
+        monkeypatch.setattr(minhash, "FEW_LINKS", few)
+        spark.sparkContext.setJobGroup(f"links-{few}", "")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, 3, 85).collect()}
+        assert got == linked(rows, 3, 85)
+        jobs[few] = len(tracker.getJobIdsForGroup(f"links-{few}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[100_000] < 0.75 * jobs[0], jobs
+
+    edges = spark.createDataFrame([(1000, i) for i in range(10, 60)] + [(2, i) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 230)] + [(5, 5)], "a long, b long")
+    got = dict(map(tuple, minhash.joined(edges).collect()))
+    assert {i: c for i, c in got.items() if i != c} == dict(map(tuple, minhash.components(edges).filter("id <> component").collect()))
+    monkeypatch.setattr(minhash, "FEW_LINKS", 100)
+    assert minhash.joined(edges) is None
+
+
 def test_op1_awkward(awkward, empty):
     got = [tuple(r) for r in minhash.near_duplicates(awkward, 3, 85).select("doc_id", "n_shingles", "component_id", "kept").collect()]
     assert sorted(got, key=str) == sorted([(1, 10, 1, True), (1, 10, 1, True), (2, 10, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), *[(i, n, c, i == c) for i, (n, c) in linked({r["doc_id"]: r["text"] for r in awkward.filter("doc_id in (6, 7)").collect()}, 3, 85).items()], (None, 10, None, False), (None, 0, None, False), (8, 1, 8, True), (9, 1, 8, False)], key=str)
