@@ -565,6 +565,35 @@ def test_op8_thresholds_are_best():
             assert f1(got) == pytest.approx(max(map(f1, middle))) or f1(cuts[0]) >= max(map(f1, middle))
 
 
+def test_op8_thresholds_on_all_labels(spark):
+    """With a sample of 20 documents a class, all other labelled documents set the thresholds, also those by language."""
+    rng, rows = np.random.default_rng(12), []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        words = [("bad" if rng.random() < (0.4 if toxic else 0.1) else "good") + str(rng.integers(0, 5)) for _ in range(12)]
+        rows.append((i, " ".join(words), "de" if i % 3 else "en", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    model = toxicity.train(docs, docs, per_class=20)
+    assert set(model.thresholds) == {"", "de", "en"}
+    sample, _ = training.labelled_sample(docs, docs, "toxic", 20)
+    fitted = {r["doc_id"] for i, r in enumerate(sample) if i % 5}
+    rest = [r for r in rows if r[0] not in fitted]
+    scores, truth = model.scorer()([r[1] for r in rest]), np.array([r[3] for r in rest])
+    n = np.bincount(truth)
+    weight = np.where(truth == 1, 100 / n[1], 300 / n[0])
+
+    def f1(cut, own):
+        p = scores >= cut
+        return 2 * (weight * truth * p)[own].sum() / (weight * p + weight * truth)[own].sum()
+
+    for lang, cut in model.thresholds.items():
+        own = np.array([lang in ("", r[2]) for r in rest])
+        # cuts within a step of the outputs are not told apart
+        assert f1(cut, own) >= max(f1(x, own) for x in np.unique(scores[own])[1:]) - 0.005
+    langs, labels, z, count = toxicity.labelled_outputs(docs, docs, "toxic", model, sorted(fitted))
+    assert count.sum() == len(rest) and (count * labels).sum() == truth.sum()
+
+
 def test_op8_thresholds_by_language(spark):
     """The query's verdict is by the threshold of the row's language, an unknown language's by the common one."""
     model = toxicity.Model()
