@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .shared import BROADCAST_ROWS, materialise, small_batches
 
 MAGIC = b"WARC/1.0\r\n"
-#: Records of one archive, and bytes of their payloads, at most, or one record: what a task reads at once is bounded.
-FILE_RECORDS, FILE_BYTES = 250, 1 << 28
+#: Bytes of the payloads of one archive, at most, or one record: a task holds an archive several times over while it reads.
+FILE_BYTES = 1 << 25
+#: Records of one archive, at most: the first of these that keeps to FILE_BYTES were all its payloads as long as the row's.
+FILE_RECORDS = (250, 62, 15, 3, 1)
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
 #: A block of an archive whose record starts are looked for at once.
@@ -22,8 +24,10 @@ BLOCK = 1 << 20
 
 
 def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> None:
-    """One record per row, in files of at most FILE_RECORDS records, fewer where payloads are so long that they might pass FILE_BYTES.
+    """One record per row, in files of at most FILE_RECORDS[0] records, fewer where payloads are so long that they might pass FILE_BYTES.
 
+    Long payloads go to archives of their own, by length, so that a few of them leave the others' archives as they are;
+    `pages` is read once more for each such length that it has, and has to have the same rows each time.
     Of equal payloads of REVISIT_BYTES or more, the row with the largest id holds the payload and the others are revisits
     that name it. A null payload is empty, a null url leaves its header out, and of rows with one id each is written; rows
     with a null id are responses without a page header. Other columns are left out.
@@ -33,7 +37,8 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
     # first the few digests that come twice or more: texts never move for this
     twice = rows.filter((F.col("bytes") >= REVISIT_BYTES) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.max("id").alias("holder"), F.count("*").alias("c")).filter("c > 1").drop("c")
     twice = materialise(twice, "twice")
-    largest = rows.agg(F.max("bytes")).first()[0] or 0
+    most = F.coalesce(*(F.when(F.col("bytes") <= FILE_BYTES // n, F.lit(n)) for n in FILE_RECORDS), F.lit(1))
+    found = {FILE_RECORDS[0], *rows.agg(F.collect_set(most)).first()[0]}
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice.hint("merge")
     joined = rows.join(twice, ["digest", "bytes"], "left").withColumn("refers", F.when(F.col("holder") != F.col("id"), F.col("holder")))
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
@@ -54,8 +59,10 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url_colu
         body,
         F.lit("\r\n"),
     )  # the sink's line end is the second of the two that close a record
-    each = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, largest)))
-    joined.select(record.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", each).text(path)
+    for k, each in enumerate(sorted(found)):
+        # revisits hold no payload, so they are short whatever they refer to
+        own = (most == each) & F.col("refers").isNull() if each < FILE_RECORDS[0] else (most == each) | F.col("refers").isNotNull()
+        joined.filter(own).select(record.alias("value")).write.mode("append" if k else "error").option("lineSep", "\r\n").option("maxRecordsPerFile", each).text(path)
 
 
 #: Header lines; numbers of at most 18 digits, so that whatever a page imitates fits in 64 bits.

@@ -244,6 +244,20 @@ def test_op3_magic_in_payloads(spark):
     assert warc.read_warc(spark, path + "-none").count() == 0
 
 
+def test_op3_archives_of_long_payloads(spark):
+    """40 different pages of 2 MB, 260 copies of one, 500 short ones: no archive is so long that reading it fills a worker, and few are short."""
+    html = F.when(F.col("id") < 40, F.repeat(F.md5(F.col("id").cast("string")), F.lit(1 << 16))).when(F.col("id") < 300, F.repeat(F.lit("x"), F.lit(1 << 21))).otherwise(F.concat(F.lit("page "), F.col("id")))
+    pages = spark.range(0, 800, 1, 1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    path = scratch(spark, "warc")
+    warc.write_warc(pages, path)
+    fs, to_path = file_system(spark, path)
+    sizes = [s.getLen() for s in fs.listStatus(to_path(path)) if s.getPath().getName().startswith("part-")]
+    assert max(sizes) < 33 << 20 and len(sizes) <= 8
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()}
+    digests = pages.select("page_id", F.octet_length("html"), F.sha1("html")).collect()
+    assert got == {i: (n, digest, *(("revisit", 299) if 40 <= i < 299 else ("response", None))) for i, n, digest in digests}
+
+
 def record(page, body, more=b""):
     head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\n" % page + more
     return head + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
