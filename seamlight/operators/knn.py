@@ -15,6 +15,9 @@ from ..functions.session import arrow_rows, importable
 ROUND_QUERIES = 32_768
 #: Vectors that are multiplied at once.
 BLOCK_ROWS = 4096
+#: Scores that a task holds at once: 16 MB, and as much again a few times while they are compared.
+SCORES = 1 << 21
+FOUND = "query_id long, id long, distance double"
 
 
 def nearest(vectors: DataFrame, query, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -32,41 +35,106 @@ def within(vectors: DataFrame, query, radius: float, id_column: str = "vec_id",
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, include_self: bool = True, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, id, distance for every row of `queries` (query_id, vector).
 
-    Queries go round in blocks of bounded size; each task multiplies its vectors with them as matrices and sends its k
-    best per query only, so the shuffle is tasks times queries times k rows, whatever the vectors are.
+    The vectors are dealt to as many tasks as the cluster has cores, twice over, and queries go round in blocks of bounded
+    size; each task sends its k best per query only, so the shuffle is tasks times queries times k rows. A task holds SCORES
+    scores at once, whatever the numbers of vectors and queries.
     """
+    rows = vectors.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"))
+    found = _nearest_many(rows, queries, k, include_self)
+    return found.select("query_id", "rank", F.col("id").alias(id_column), "distance")
+
+
+def _nearest_many(rows: DataFrame, queries: DataFrame, k: int, include_self: bool = True) -> DataFrame:
+    """query_id, rank, id, distance of rows (id, vector). Where rows and queries also have `codes`, arrays of long of one
+    length, only rows that have a code of the query in its place count."""
     import numpy as np
 
-    spark = vectors.sparkSession
+    spark = rows.sparkSession
     importable(spark)
     arrow_rows(spark, BLOCK_ROWS)
     rounds = max(1, -(-queries.count() // ROUND_QUERIES))
     most, out = k + (0 if include_self else 1), None
-    kind = vectors.schema[id_column].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
+    coded = ["codes"] if "codes" in rows.columns else []
+    dealt = rows.select(F.col("id").cast("long").alias("id"), "vector", *coded).repartition(2 * max(1, spark.sparkContext.defaultParallelism), "id")
     for r in range(rounds):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r).collect()
-        sent = spark.sparkContext.broadcast((np.array([q["query_id"] for q in block], np.int64), np.array([q["vector"] for q in block], np.float64)))
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r).select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"), *coded).toArrow()
+        sent = spark.sparkContext.broadcast((np.asarray(block.column(0)), *(_rows_of(c) for c in block.columns[1:])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            scores, rows = np.full((ids.size, most), np.inf), np.zeros((ids.size, most), np.int64)
+            ids, matrix, *codes = sent.value
+            best = Best(ids.size, most)
             for batch in batches:
                 if not batch.num_rows or not ids.size:
                     continue
-                v = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                own = np.broadcast_to(np.asarray(batch.column(0)).astype(np.int64), (ids.size, batch.num_rows))
-                near = np.floor((1.0 - matrix @ v.T) * 1e6 + 0.5) / 1e6
-                both, who = np.concatenate([scores, near], 1), np.concatenate([rows, own], 1)
-                order = np.lexsort((who, both), axis=1)[:, :most]
-                scores, rows = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
-            q, j = np.nonzero(np.isfinite(scores))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(rows[q, j], pa.int64()), pa.array(scores[q, j], pa.float64())], names=["query_id", "id", "distance"])
-
-        part = vectors.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long"), vector_column).mapInArrow(run, "query_id long, id long, distance double")
+                own, (v, *marks) = np.asarray(batch.column(0)), map(_rows_of, batch.columns[1:])
+                step = max(1, SCORES // batch.num_rows)
+                for start in range(0, ids.size, step):
+                    part = slice(start, start + step)
+                    scores = matrix[part] @ v.T
+                    if codes:
+                        scores[~np.logical_or.reduce([q[:, None] == x for q, x in zip(codes[0][part].T, marks[0].T)])] = -np.inf
+                    best.add(np.arange(start, start + len(scores)), scores, own)
+            yield from best.batches(ids)
+
+        part = dealt.mapInArrow(run, FOUND)
         out = part if out is None else out.unionByName(part)
     if not include_self:
         out = out.filter("id <> query_id")
-    return ranked(out, k).select("query_id", "rank", F.col("id").cast(kind).alias(id_column), "distance")
+    return ranked(out, k).select("query_id", "rank", F.col("id").cast(kind).alias("id"), "distance")
+
+
+def _rows_of(column):
+    """The arrays of an Arrow column, all of one length, as rows of a matrix of doubles or longs."""
+    import numpy as np
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = np.asarray(column.flatten())
+    return flat.astype(np.int64 if flat.dtype.kind == "i" else np.float64, copy=False).reshape(len(column), -1 if flat.size else 0)
+
+
+class Best:
+    """The k rows of least distance of each of some queries, ties to smaller ids, of all scores that were added."""
+
+    def __init__(self, queries: int, k: int):
+        import numpy as np
+
+        self.k, self.distances, self.ids = k, np.full((queries, k), np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, at, scores, own) -> None:
+        """Products of the queries numbered `at`, each once, with the rows whose ids are `own`; -inf or NaN for pairs that do not count."""
+        import numpy as np
+
+        if not len(at) or not len(own):
+            return
+        slack = 2e-6  # distances are rounded to six places
+        scores[~np.isfinite(scores)] = -np.inf
+        last = self.distances[at, -1]
+        least = 1.0 - last - slack
+        if self.k < len(own) and (new := np.isinf(last)).any():
+            least[new] = np.partition(scores[new], -self.k, 1)[:, -self.k] - slack
+        q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        d, who = np.floor((1.0 - scores[q, c]) * 1e6 + 0.5) / 1e6, own[c]
+        closer = (d < last[q]) | (d == last[q]) & (who < self.ids[at[q], -1])
+        q, d, who = q[closer], d[closer], who[closer]
+        if not q.size:
+            return
+        met = np.unique(q)
+        q = np.concatenate([np.repeat(met, self.k), q])
+        d, who = np.concatenate([self.distances[at[met]].ravel(), d]), np.concatenate([self.ids[at[met]].ravel(), who])
+        order = np.lexsort((who, d, q))
+        begins = np.searchsorted(q[order], met)
+        chosen = order[begins[:, None] + np.arange(self.k)]
+        self.distances[at[met]], self.ids[at[met]] = d[chosen], who[chosen]
+
+    def batches(self, queries) -> Iterator[pa.RecordBatch]:
+        """FOUND of all queries, whose ids are given."""
+        import numpy as np
+
+        for start in range(0, len(queries), BLOCK_ROWS):
+            d = self.distances[start : start + BLOCK_ROWS]
+            q, j = np.nonzero(np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(queries[start + q], pa.int64()), pa.array(self.ids[start + q, j], pa.int64()), pa.array(d[q, j], pa.float64())], names=["query_id", "id", "distance"])
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -97,20 +165,25 @@ def recall(found: DataFrame, truth: DataFrame, id_column: str = "vec_id") -> Dat
 
 
 def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int, bucket: float = 0.6, tables: int = 8, seed: int = 42, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank, id, distance among the vectors that share a random-projection bucket with the query."""
+    """query_id, rank, id, distance among the vectors that share a random-projection bucket with the query.
+
+    Wide buckets hold a large part of all vectors, so pairs are never rows: they are met as in `nearest_many`, and those
+    without a common bucket do not count.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).withColumn("features", array_to_vector("vector"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    def rows(df: DataFrame, column: str, vector: str) -> DataFrame:
+        return df.filter(F.col(vector).isNotNull()).select(F.col(column), F.col(vector).cast("array<double>").alias("vector")).withColumn("features", array_to_vector("vector"))
+
+    known = rows(vectors.withColumnRenamed(id_column, "id"), "id", vector_column)
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(known)
+    codes = F.array(*(vector_to_array(F.get("hashes", F.lit(i)))[0].cast("long") for i in range(tables)))
 
-    def keyed(df: DataFrame, *columns: str) -> DataFrame:
-        return model.transform(df).select(*columns, F.posexplode("hashes").alias("table", "hash")).withColumn("hash", vector_to_array("hash"))
+    def keyed(df: DataFrame, column: str) -> DataFrame:
+        return model.transform(df).select(column, "vector", codes.alias("codes"))
 
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumn("features", array_to_vector("q"))
-    met = keyed(rows, "id").join(keyed(asked, "query_id"), ["table", "hash"]).select("query_id", "id").distinct()
-    scored = met.join(rows.select("id", "vector"), "id").join(asked.select("query_id", "q"), "query_id")
-    return ranked(scored.select("query_id", "id", F.round(V.cosine_distance(F.col("vector"), F.col("q")), 6).alias("distance")), k).select("query_id", "rank", "id", "distance")
+    return _nearest_many(keyed(known, "id"), keyed(rows(queries, "query_id", "vector"), "query_id"), k)
 
 
 def checked(approximate: DataFrame, exact: DataFrame, loss: float = 0.01, id_column: str = "id") -> DataFrame:
