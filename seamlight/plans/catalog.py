@@ -119,7 +119,7 @@ def vector_index(spark, d) -> ann.VectorIndex:
 def ivf_recall(spark, d):
     """Recall at 5 of inverted lists, and of lists widened where the gap is small. The number of lists to read is set by
     the recall of at most 500 other queries."""
-    e, q, truth = table(spark, d, "embeddings"), vector_queries(spark, d), _truth(spark, d)
+    e, q, truth = table(spark, d, "embeddings"), vector_queries(spark, d), materialise(_truth(spark, d), "truth")
     index = vector_index(spark, d)
     asked = e.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     probes = index.probes_for(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(500), 5)
