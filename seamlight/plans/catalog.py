@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..functions.embed import HashEmbedder, WordPiece
-from ..functions.session import importable, materialise, scratch
+from ..functions.session import arrow_rows, importable, materialise, scratch
 from ..operators import ann, context, entities, ingest, knn, objects, ranking, sync
 from ..operators.lexical import LexicalIndex, normalized
 from ..operators.retrieval import RetrievalSpec, linked_chunks, retrieve
@@ -491,6 +491,9 @@ def stream_session_events(spark, d):
 
 # --- embeddings ------------------------------------------------------------------------------------------------------
 
+#: Whole texts of an Arrow batch, at most.
+TEXT_ROWS = 1024
+
 
 def letter_vocabulary() -> dict[str, int]:
     """Special tokens, ASCII letters and digits, and each of them inside a word."""
@@ -501,13 +504,15 @@ def letter_vocabulary() -> dict[str, int]:
 def wordpiece_encode(spark, d):
     """Whole texts: no limit of ids."""
     importable(spark)
-    coded = texts(spark, d).select("chunk_id", WordPiece(letter_vocabulary(), None).column(F.col("text")).alias("e"))
+    arrow_rows(spark, TEXT_ROWS)
+    coded = texts(spark, d).select("chunk_id", WordPiece(letter_vocabulary(), None).column(F.col("text"), "input_ids", "actual_length").alias("e"))
     return coded.select("chunk_id", F.col("e.actual_length").alias("n_ids"), F.aggregate("e.input_ids", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("id_sum"))
 
 
 def hash_embed(spark, d):
     """Whole texts; two components of each unit vector."""
     importable(spark)
+    arrow_rows(spark, TEXT_ROWS)
     v = HashEmbedder(letter_vocabulary(), 64, None).column(F.col("text"))
     at = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 3)
     return texts(spark, d).select("chunk_id", v.alias("v")).select("chunk_id", F.round(V.norm(F.col("v")), 4).alias("norm"), at(0).alias("first"), at(63).alias("last"))

@@ -96,3 +96,51 @@ def test_lists_are_read_where_they_lie(spark, tmp_path, monkeypatch):
     assert index.search(asked.filter("query_id < 0"), 5, 3).count() == 0
     few = index.search(asked, 5, 2)
     assert few.count() == 200 and knn.recall(few, found, "id").first()[0] < 1
+
+
+def test_encodings_leave_in_parts(spark, monkeypatch):
+    """400 texts of 20,000 letters: the ids of all take 64 MB a field, and a worker holds some of them only."""
+    import pyspark.sql.functions as F
+
+    from seamlight.functions import embed
+    from seamlight.plans.catalog import letter_vocabulary
+
+    kept = []
+    for name in ("arrow_udf", "pandas_udf"):
+        monkeypatch.setattr(embed.F, name, lambda f, kind, make=getattr(F, name): kept.append(f) or make(f, kind))
+    embed.WordPiece(letter_vocabulary(), None).column(F.lit(""))
+    text, parts, most = pa.array(["abcde " * 4000] * 400), [], 0
+    tracemalloc.start()
+    for part in kept[0](iter([text])):
+        parts.append(part.field("actual_length").to_pylist())
+        most = max(most, tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes())
+    tracemalloc.stop()
+    assert sum(parts, []) == [20_002] * 400 and len(parts) > 4 and most < 80e6
+
+
+def test_encodings_of_both_ways_agree(spark):
+    from pyspark.sql import functions as F
+
+    from seamlight.functions import embed
+    from seamlight.plans.catalog import letter_vocabulary
+
+    texts = [None, "", " ", "Ab-c é çA x" * 30, "word " * 50, "中 a", "\t?\n"]
+    for most in (None, 2, 8):
+        coder = embed.WordPiece(letter_vocabulary(), most)
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", coder.column(F.col("t")).alias("e"))
+        for r in df.collect():
+            ids, n = coder.encode(texts[r["i"]])
+            assert r["e"]["input_ids"] == ids and r["e"]["actual_length"] == n and r["e"]["attention_mask"] == [1] * n + [0] * (len(ids) - n) and set(r["e"]["token_type_ids"]) <= {0}
+    slow = embed.WordPiece(letter_vocabulary(), None)
+    slow.letters = None
+    assert all(slow.encode(t) == embed.WordPiece(letter_vocabulary(), None).encode(t) for t in texts)
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    from seamlight.functions import embed
+    from seamlight.plans.catalog import letter_vocabulary
+
+    text = "ab-c d\te,f\n" * 50 + "x" * 40 + " end"
+    whole = embed.WordPiece(letter_vocabulary(), None).encode(text)
+    monkeypatch.setattr(embed, "_BLOCK_CHARACTERS", 5)
+    assert embed.WordPiece(letter_vocabulary(), None).encode(text) == whole
