@@ -96,6 +96,15 @@ def _rows_of(column):
 class Best:
     """The k rows of least distance of each of some queries, ties to smaller ids, of all scores that were added."""
 
+    #: A distance is this less a score, rounded.
+    at_most = 1.0
+
+    @staticmethod
+    def distance(scores):
+        import numpy as np
+
+        return np.floor((1.0 - scores) * 1e6 + 0.5) / 1e6
+
     def __init__(self, queries: int, k: int):
         import numpy as np
 
@@ -110,11 +119,11 @@ class Best:
         slack = 2e-6  # distances are rounded to six places
         scores[~np.isfinite(scores)] = -np.inf
         last = self.distances[at, -1]
-        least = 1.0 - last - slack
+        least = self.at_most - last - slack
         if self.k < len(own) and (new := np.isinf(last)).any():
             least[new] = np.partition(scores[new], -self.k, 1)[:, -self.k] - slack
         q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        d, who = np.floor((1.0 - scores[q, c]) * 1e6 + 0.5) / 1e6, own[c]
+        d, who = self.distance(scores[q, c]), own[c]
         closer = (d < last[q]) | (d == last[q]) & (who < self.ids[at[q], -1])
         q, d, who = q[closer], d[closer], who[closer]
         if not q.size:

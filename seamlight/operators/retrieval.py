@@ -117,7 +117,7 @@ class _restricted(LexicalIndex):
     """An index whose results are restricted and whose statistics are not."""
 
     def __init__(self, index: LexicalIndex, allowed: DataFrame):
-        super().__init__(index.postings, index.frequencies, index.statistics)
+        super().__init__(index.documents, index.frequencies, index.statistics)
         self.allowed = allowed
 
     def search(self, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:

@@ -135,11 +135,11 @@ def lsh_recall(spark, d):
 
 
 def term_frequencies(spark, d):
-    return lexical_index(spark, d).postings.select("chunk_id", "term", "tf")
+    return LexicalIndex.build(texts(spark, d)).postings.select("chunk_id", "term", "tf")
 
 
 def doc_lengths(spark, d):
-    return lexical_index(spark, d).lengths()
+    return LexicalIndex.build(texts(spark, d)).lengths()
 
 
 def bm25_idf(spark, d):

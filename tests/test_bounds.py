@@ -144,3 +144,36 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     whole = embed.WordPiece(letter_vocabulary(), None).encode(text)
     monkeypatch.setattr(embed, "_BLOCK_CHARACTERS", 5)
     assert embed.WordPiece(letter_vocabulary(), None).encode(text) == whole
+
+
+def test_terms_are_counted_within_a_row(spark):
+    """Postings and lengths of an index need no shuffle, and a search shuffles its best only."""
+    from pyspark.sql import functions as F
+
+    from seamlight.operators.lexical import LexicalIndex
+
+    texts = ["b a b ba", "", None, "ba ba BA x y", "x ab"]
+    index = LexicalIndex.build(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    assert "Exchange" not in plan(index.postings) and "Exchange" not in plan(index.lengths())
+    assert {tuple(r) for r in index.postings.collect()} == {(0, "ba", 1, 1), (3, "ba", 3, 3), (4, "ab", 1, 1)}
+    assert {tuple(r) for r in index.document_frequency().collect()} == {("ba", 2), ("ab", 1)}
+    asked = spark.createDataFrame([(7, "ba ab"), (8, "none"), (9, "ab")], "query_id int, text string")
+    found = index.search(asked, 2)
+    assert "Join" not in plan(found) and found.dtypes[:3] == [("query_id", "int"), ("rank", "int"), ("chunk_id", "bigint")]
+    got = [(r["query_id"], r["rank"], r["chunk_id"]) for r in found.orderBy("query_id", "rank").collect()]
+    assert got == [(7, 1, 4), (7, 2, 3), (9, 1, 4)]
+    only = spark.createDataFrame([(0,), (3,)], "chunk_id long")
+    assert [(r["query_id"], r["chunk_id"]) for r in index.search(asked, 1, only).collect()] == [(7, 3)]
+
+
+def test_search_in_rounds_agrees(spark, monkeypatch):
+    from seamlight.operators import lexical
+
+    texts = [f"{'ab ' * (i % 3)}{'cd ' * (i % 5)}{'e' * (2 + i % 2)} w{i % 7}" for i in range(60)]
+    index = lexical.LexicalIndex.build(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    asked = spark.createDataFrame([(i, f"ab cd w{i}") for i in range(9)], "query_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in index.search(asked, 6).collect())
+    want = rows()
+    monkeypatch.setattr(lexical, "ROUND_QUERIES", 4)
+    monkeypatch.setattr(lexical, "SCORES", 30)
+    assert rows() == want and len(want) == 54
