@@ -342,10 +342,10 @@ def entity_index(spark: SparkSession, d: str, kind: str = "windows") -> DataFram
     key = (spark.sparkContext.applicationId, d, "entities of " + kind)
     if key not in _INDEXES:
         if kind == "windows":
-            rows = ingest.chunked(table(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
+            found = entities.window_entities(table(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "entity")
         else:
-            rows = texts(spark, d) if kind == "texts" else chunks(spark, d).select("chunk_id", "text")
-        _INDEXES[key] = materialise(entities.chunk_entities(rows), "entities")
+            found = entities.chunk_entities(texts(spark, d) if kind == "texts" else chunks(spark, d).select("chunk_id", "text"))
+        _INDEXES[key] = materialise(found, "entities")
     return _INDEXES[key]
 
 
@@ -364,7 +364,7 @@ def entity_cooccurrence(spark, d):
 def entity_related_2hop(spark, d):
     s = entity_index(spark, d)
     start = s.filter("chunk_id % 20 = 0").select("entity")
-    return entities.related(start, entities.cooccurrence(s), 2)
+    return entities.related_by_chunks(start, s, 2)
 
 
 def kg_expand(spark, d):

@@ -177,3 +177,28 @@ def test_search_in_rounds_agrees(spark, monkeypatch):
     monkeypatch.setattr(lexical, "ROUND_QUERIES", 4)
     monkeypatch.setattr(lexical, "SCORES", 30)
     assert rows() == want and len(want) == 54
+
+
+def test_entities_are_found_within_a_row(spark):
+    from seamlight.operators import entities, ingest
+
+    words = ["the", "Ada", "Lovelace-", "BERT", "x", "42", "é.", "ok!", "\tB2", "\x1cZed", "Dr"]
+    texts = [" ".join(words[(i * j + j // 7) % len(words)] for j in range(1, n)) for i, n in enumerate((1, 2, 30, 250, 900))] + [None, " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = entities.extracted(docs.withColumnRenamed("doc_id", "chunk_id"), ("ok",))
+    assert "Exchange" not in plan(whole)
+    assert {tuple(r) for r in whole.collect()} == {(i, e["text"], e["type"], e["confidence"]) for i, t in enumerate(texts) for e in entities.extract(t, ("ok",))}
+    cut = entities.window_entities(docs, 50, 10)
+    assert "Exchange" not in plan(cut)
+    want = {(r["doc_id"], r["chunk_index"], e["text"]) for r in ingest.chunked(docs, 50, 10).collect() for e in entities.extract(r["text"])}
+    assert {tuple(r) for r in cut.collect()} == want and len(want) > 30
+
+
+def test_related_entities_by_chunks(spark):
+    from seamlight.operators import entities
+
+    e = spark.createDataFrame([(c, f"e{x}") for c in range(30) for x in (c, c + 1, c * c % 17)], "chunk_id long, entity string").distinct()
+    start = spark.createDataFrame([("e0",), ("e9",), ("none",)], "entity string")
+    for hops in (1, 2, 3):
+        got = entities.related_by_chunks(start, e, hops)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, entities.related(start, entities.cooccurrence(e), hops).collect()))
