@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import materialise
+
 RECORD = "struct<id:bigint,type_name:string,props:string,sync_clock:bigint,writer:string,is_deleted:boolean>"
 EDGE = "struct<relation:string,from_id:bigint,to_id:bigint>"
 CHUNK = "struct<chunk_id:bigint,text:string,embedding:array<float>,doc_id:bigint,page_number:bigint,sync_clock:bigint>"
@@ -55,11 +57,23 @@ def write_delta(delta: DataFrame, path: str) -> None:
 
 
 def read_delta(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of DELTA from JSON lines; one broken line makes the whole delta empty. Missing clocks count as 0."""
+    """Rows of DELTA from JSON lines; one broken line makes the whole delta empty. Missing clocks count as 0.
+
+    The lines are parsed once, into a table of the shared folder that all later plans read.
+    """
     lines = spark.read.text(path)
-    rows = lines.select(F.from_json("value", DELTA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
-    bad = rows.agg(F.count("_bad").alias("n_bad"))
-    return rows.crossJoin(F.broadcast(bad)).filter("n_bad = 0").drop("_bad", "n_bad")  # one row
+    parsed = lines.select(F.from_json("value", DELTA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    rows = materialise(parsed, "read")
+    n_bad = rows.agg(F.count("_bad")).first()[0]
+    return rows.drop("_bad").filter(F.lit(n_bad == 0))
+
+
+def differing(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows that one table has more often than the other, as often as it has them more: one shuffle for both ways."""
+    columns = one.columns
+    both = one.withColumn("_n", F.lit(1)).unionByName(other.withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*columns).agg(F.abs(F.sum("_n")).alias("_n")).filter("_n > 0")
+    return more.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*columns)
 
 
 def merge_records(local: DataFrame, remote: DataFrame) -> DataFrame:

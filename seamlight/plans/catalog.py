@@ -454,8 +454,7 @@ def delta_round_trip(spark, d):
     sent = sync.export_since(100, "d0", replica(spark, d, "d0"), order_edges(spark, d), chunks(spark, d).withColumn("sync_clock", F.col("chunk_id")), spark.createDataFrame([(1, 100), (2, 300)], "chunk_id long, clock long"))
     sync.write_delta(sent, path)
     got = sync.read_delta(spark, path)
-    differ = sent.exceptAll(got).unionByName(got.exceptAll(sent))
-    lost = differ.select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("sync_clock"), F.col("kind").alias("writer"), F.lit(None).cast("boolean").alias("is_deleted"))
+    lost = sync.differing(sent, got).select(F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("sync_clock"), F.col("kind").alias("writer"), F.lit(None).cast("boolean").alias("is_deleted"))
     return got.filter("kind = 'record'").select("record.id", "record.sync_clock", "record.writer", "record.is_deleted").unionByName(lost)
 
 

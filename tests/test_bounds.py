@@ -202,3 +202,19 @@ def test_related_entities_by_chunks(spark):
     for hops in (1, 2, 3):
         got = entities.related_by_chunks(start, e, hops)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, entities.related(start, entities.cooccurrence(e), hops).collect()))
+
+
+def test_delta_is_parsed_and_compared_once(spark, tmp_path):
+    from seamlight.operators import sync
+
+    schema = "kind string, v struct<a:array<float>,b:string>"
+    one = spark.createDataFrame([("x", ([1.0], "p")), ("x", ([1.0], "p")), ("y", (None, "q")), ("z", None)], schema)
+    other = spark.createDataFrame([("x", ([1.0], "p")), ("y", (None, None)), ("z", None), ("z", None)], schema)
+    assert sorted(r["kind"] for r in sync.differing(one, other).collect()) == ["x", "y", "y", "z"]
+    assert sync.differing(one, one.repartition(3)).count() == 0
+    shown = plan(sync.differing(one, other))
+    assert shown.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text('{"kind":"edge","device":"d","edge":{"relation":"r","from_id":1,"to_id":2}}\n')
+    got = sync.read_delta(spark, f"file://{tmp_path}/d")
+    assert got.count() == 1 and "from_json" not in plan(got)
